@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.numeric import exact_round, ratio
 from seriesloom.functions.order import PIECE_ROWS, pieces
 from seriesloom.operators.grid import future_grid, period_of, steps_of
-from seriesloom.sources.panel import is_bounded, with_pos
+from seriesloom.sources.panel import SERIES_ROWS, is_bounded, with_pos
 
 Z80, Z95 = NormalDist().inv_cdf(0.90), NormalDist().inv_cdf(0.975)
 
@@ -294,8 +294,15 @@ def fit_ets(
     columns = ["series_id", "pos", "y", "period", "fell_back"]
     kernel = _fit_kernel(error, trend, seasonal, damped, fixed)
     additive = error == "add" and trend in (None, "add") and seasonal in (None, "add")
-    if is_bounded(panel) or not additive:
+    if is_bounded(panel):
         return keyed.select(*columns).groupBy("series_id").applyInPandas(kernel, f"series_id string, {FIT}")
+    if not additive:  # no composable form: one task per series, so only up to the task's bound
+        fits = keyed.where(F.col("n") <= SERIES_ROWS).select(*columns).groupBy("series_id").applyInPandas(
+            kernel, f"series_id string, {FIT}"
+        )
+        message = f"ValueError: multiplicative components take at most {SERIES_ROWS} rows per series."
+        refused = sizes.where(F.col("n") > SERIES_ROWS).select("series_id", "n", F.lit(message).alias("error"))
+        return fits.unionByName(refused, allowMissingColumns=True)
     short = keyed.where(F.col("n") <= PIECE_ROWS).select(*columns)
     fitted = short.groupBy("series_id").applyInPandas(kernel, f"series_id string, {FIT}")
     long_rows = keyed.where(F.col("n") > PIECE_ROWS).select(*columns, "n")
@@ -390,8 +397,7 @@ def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed
             _piece_kernel(trend, damped, seasonal, fixed, turn), _FORM
         )
         tried = forms.groupBy("series_id", "points").applyInPandas(_fold_forms(trend, damped, seasonal, fixed), result)
-        if best is not None:
-            tried = tried.unionByName(best)
+        # The zero move keeps the previous best among the candidates.
         best = tried.groupBy("series_id").agg(
             F.min_by(F.struct("best", "sse", "end", "n", "period", "fell_back"), "sse").alias("_b")
         ).select("series_id", "_b.*")

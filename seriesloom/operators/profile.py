@@ -123,9 +123,9 @@ def column_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str] | None =
 
 def deltas(panel: DataFrame) -> DataFrame:
     """Seconds between neighbouring rows of a series; zero for repeated times."""
+    rows = panel if "prev_ts" in panel.columns else with_pos(panel.where(F.col("ts").isNotNull()))
     return (
-        with_pos(panel.where(F.col("ts").isNotNull()))
-        .where(F.col("prev_ts").isNotNull())
+        rows.where(F.col("prev_ts").isNotNull())
         .select(
             "series_id", "ts", ((F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(1e6)).alias("delta_s")
         )
