@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write the table to the checkpoint folder once and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's (``spark.checkpoint.dir``). Only a local session without one
-    gets a temporary folder; on a cluster that would not survive the loss of a machine.
+    Only a local session without one gets a temporary folder; on a cluster that would not
+    survive the loss of a machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +21,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
             folder = tempfile.mkdtemp(prefix="seriesloom-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write the table to the shared folder once and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

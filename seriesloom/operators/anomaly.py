@@ -32,10 +32,19 @@ def positioned(panel: DataFrame) -> DataFrame:
 
 
 def zscores(panel: DataFrame) -> DataFrame:
-    """Every non-missing row with its z-score; no rows for a constant series."""
+    """Every non-missing row with its z-score; no rows for a constant series.
+
+    Mean and deviation are a window beside the positions where series fit in a task; else
+    an aggregate with map-side partial sums, joined back as one row per series.
+    """
     rows = drop_missing(positioned(panel))
-    stats = panel.groupBy("series_id").agg(F.avg("y").alias("_mean"), F.stddev_samp("y").alias("_std"))
-    return rows.join(stats.where(F.col("_std") > 0), "series_id").select(
+    if is_bounded(panel):
+        w = Window.partitionBy("series_id")
+        scored = rows.withColumn("_mean", F.avg("y").over(w)).withColumn("_std", F.stddev_samp("y").over(w))
+    else:
+        stats = panel.groupBy("series_id").agg(F.avg("y").alias("_mean"), F.stddev_samp("y").alias("_std"))
+        scored = rows.join(stats, "series_id")
+    return scored.where(F.col("_std") > 0).select(
         "series_id", "pos", F.col("y").alias("value"), ((F.col("y") - F.col("_mean")) / F.col("_std")).alias("z")
     )
 
@@ -82,31 +91,42 @@ def _grow(sample: np.ndarray, rng: np.random.Generator) -> tuple[list[float], li
     return cuts, depths
 
 
-def _forest_kernel(trees: int, seed: int):
+def forest_of(sid: str, values: np.ndarray, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forest over (a pool of) one series' values as a step function: cut points and scores."""
+    values = np.sort(values)
+    rng = np.random.default_rng([seed, *str(sid).encode()])
+    size = min(TREE_ROWS, len(values))
+    cuts, jumps, base = [], [], 0.0
+    for _ in range(trees):
+        tree_cuts, depths = _grow(np.sort(rng.choice(values, size, replace=False)), rng)
+        cuts.append(tree_cuts)
+        jumps.append(np.diff(depths))
+        base += depths[0]
+    at = np.concatenate(cuts)
+    order = np.argsort(at, kind="stable")
+    path = np.concatenate([[base], base + np.cumsum(np.concatenate(jumps)[order])]) / trees
+    return at[order], -np.exp2(-path / max(_average_depth(size), 1e-12))
+
+
+def _steps_kernel(trees: int, seed: int):
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(pdf["y"].to_numpy(float))
-        rng = np.random.default_rng([seed, *str(key[0]).encode()])
-        size = min(TREE_ROWS, len(values))
-        cuts, jumps, base = [], [], 0.0
-        for _ in range(trees):
-            tree_cuts, depths = _grow(np.sort(rng.choice(values, size, replace=False)), rng)
-            cuts.append(tree_cuts)
-            jumps.append(np.diff(depths))
-            base += depths[0]
-        at = np.concatenate(cuts)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        path = np.concatenate([[base], base + np.cumsum(np.concatenate(jumps)[order])]) / trees
-        score = -np.exp2(-path / max(_average_depth(size), 1e-12))
-        lo = np.concatenate([[-np.inf], at])
-        if bool(pdf["whole"].iloc[0]):  # only steps that some row falls into
-            keep = np.unique(np.searchsorted(at, values, side="left"))
-            lo, score = lo[keep], score[keep]
-        return pd.DataFrame({"series_id": key[0], "lo": lo, "score": score})
+        at, score = forest_of(key[0], pdf["y"].to_numpy(float), trees, seed)
+        return pd.DataFrame({"series_id": key[0], "lo": np.concatenate([[-np.inf], at]), "score": score})
 
     return build
 
 
+def _scores_kernel(trees: int, seed: int):
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf["y"].to_numpy(float)
+        at, step = forest_of(key[0], y, trees, seed)
+        return pd.DataFrame(
+            {"series_id": key[0], "pos": pdf["pos"], "value": y, "score": step[np.searchsorted(at, y, side="left")]}
+        )
+
+    return score
+
+
 def forest_steps(panel: DataFrame, trees: int = TREES, seed: int = 0) -> DataFrame:
     """The forest of each series as one step function of the value: ``(series_id, lo, score)``.
 
@@ -115,17 +135,12 @@ def forest_steps(panel: DataFrame, trees: int = TREES, seed: int = 0) -> DataFra
     hash of the position before the shuffle and the grouped kernel stays bounded.
     """
     rows = drop_missing(positioned(panel))
-    pool = int(trees * TREE_ROWS * 1.1)
+    pool = trees * TREE_ROWS * 1.1
     size = panel.groupBy("series_id").agg(F.count("y").alias("_n"))
     draw = F.pmod(F.xxhash64("series_id", "pos", F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
-    sampled = (
-        rows.join(size, "series_id")
-        .withColumn("whole", F.col("_n") <= pool)
-        .where(F.col("whole") | (draw < F.lit(float(pool)) / F.col("_n")))
-        .select("series_id", "y", "whole")
-    )
+    sampled = rows.join(size, "series_id").where(draw < F.lit(pool) / F.col("_n")).select("series_id", "y")
     return sampled.groupBy("series_id").applyInPandas(
-        _forest_kernel(trees, seed), "series_id string, lo double, score double"
+        _steps_kernel(trees, seed), "series_id string, lo double, score double"
     )
 
 
@@ -140,24 +155,38 @@ def _lookup(key: tuple, rows: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame
 
 
 def forest_scores(panel: DataFrame, trees: int = TREES, seed: int = 0) -> DataFrame:
-    """Score every row: the steps are handed to each piece of their series and looked up."""
+    """Score every row.
+
+    A series that fits in a task is one kernel call. A longer one is cut into pieces; the
+    steps of its forest are handed to each piece and looked up there.
+    """
+    schema = "series_id string, pos bigint, value double, score double"
+    if is_bounded(panel):
+        return (
+            drop_missing(positioned(panel))
+            .select("series_id", "pos", "y")
+            .groupBy("series_id")
+            .applyInPandas(_scores_kernel(trees, seed), schema)
+        )
     rows = pieces(drop_missing(positioned(panel))).select("series_id", "piece", "pos", "y")
     used = rows.groupBy("series_id").agg(F.collect_set("piece").alias("_in"))
     steps = forest_steps(panel, trees, seed).join(used, "series_id").select(
         F.col("series_id").alias("step_id"), F.explode("_in").alias("step_piece"), "lo", F.col("score").alias("step")
     )
     return rows.groupBy("series_id", "piece").cogroup(steps.groupBy("step_id", "step_piece")).applyInPandas(
-        _lookup, "series_id string, pos bigint, value double, score double"
+        _lookup, schema
     )
 
 
 def flag_lowest(scores: DataFrame, contamination: float = CONTAMINATION, bounded: bool = False) -> DataFrame:
     """Rows scoring strictly below the series' ``contamination`` quantile, relative to it."""
-    offset = exact_quantile(scores, ["series_id"], "score", contamination, "_offset", bounded=bounded)
-    return (
-        scores.join(offset, "series_id")
-        .where(F.col("score") < F.col("_offset"))
-        .select("series_id", "pos", "value", exact_round(F.col("score") - F.col("_offset"), 4).alias("score"))
+    if bounded:
+        w = Window.partitionBy("series_id")
+        ranked = scores.withColumn("_offset", F.percentile("score", F.lit(contamination)).over(w))
+    else:
+        ranked = scores.join(exact_quantile(scores, ["series_id"], "score", contamination, "_offset"), "series_id")
+    return ranked.where(F.col("score") < F.col("_offset")).select(
+        "series_id", "pos", "value", exact_round(F.col("score") - F.col("_offset"), 4).alias("score")
     )
 
 
@@ -227,12 +256,13 @@ def normality(panel: DataFrame, max_rows: int = NORMALITY_ROWS, seed: int = 0) -
     the ranking that takes exactly ``max_rows`` orders a few times that many.
     """
     rows = drop_missing(positioned(panel))
-    size = panel.groupBy("series_id").agg(F.count("y").alias("_n"))
-    key = F.pmod(F.xxhash64("series_id", "pos", F.lit(seed)), F.lit(2**31))
+    if is_bounded(panel):
+        sized = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("series_id")))
+    else:
+        sized = rows.join(panel.groupBy("series_id").agg(F.count("y").alias("_n")), "series_id")
     thin = F.lit(float(2**31)) * (4.0 * max_rows) / F.col("_n")
     drawn = (
-        rows.withColumn("_h", key)
-        .join(size, "series_id")
+        sized.withColumn("_h", F.pmod(F.xxhash64("series_id", "pos", F.lit(seed)), F.lit(2**31)))
         .where(F.col("_h") < thin)
         .withColumn("_k", F.row_number().over(Window.partitionBy("series_id").orderBy("_h", "pos")))
         .where(F.col("_k") <= max_rows)
@@ -242,7 +272,7 @@ def normality(panel: DataFrame, max_rows: int = NORMALITY_ROWS, seed: int = 0) -
     )
     gaussian = F.col("p").isNull() | (F.col("rows_tested") < 3) | (F.col("p") > NORMALITY_ALPHA)
     return (
-        size.join(tested, "series_id", "left")
+        panel.select("series_id").distinct().join(tested, "series_id", "left")
         .select(
             "series_id",
             F.coalesce("rows_tested", F.lit(0)).alias("rows_tested"),

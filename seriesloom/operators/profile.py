@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,11 +121,14 @@ def column_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str] | None =
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
+def _positioned(panel: DataFrame) -> DataFrame:
+    return panel if "prev_ts" in panel.columns else with_pos(panel.where(F.col("ts").isNotNull()))
+
+
 def deltas(panel: DataFrame) -> DataFrame:
     """Seconds between neighbouring rows of a series; zero for repeated times."""
-    rows = panel if "prev_ts" in panel.columns else with_pos(panel.where(F.col("ts").isNotNull()))
     return (
-        rows.where(F.col("prev_ts").isNotNull())
+        _positioned(panel).where(F.col("prev_ts").isNotNull())
         .select(
             "series_id", "ts", ((F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(1e6)).alias("delta_s")
         )
@@ -140,31 +143,67 @@ def band_of(median_s: Column) -> Column:
     return out
 
 
+def frequency_name(median_s: Column, mad_s: Column) -> Column:
+    regular = (median_s > 0) & (ratio(mad_s, median_s) <= MAX_DISPERSION)
+    return F.coalesce(F.when(regular, band_of(median_s)), F.lit("irregular"))
+
+
+def _with_median_step(rows: DataFrame) -> DataFrame:
+    """Positioned rows with their step and the series' median step, all in one partitioning."""
+    step = (F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(1e6)
+    return rows.withColumn("_step", step).withColumn(
+        "_median", F.percentile("_step", F.lit(0.5)).over(Window.partitionBy("series_id"))
+    )
+
+
 def detect_frequency(panel: DataFrame) -> DataFrame:
     """Median step, its MAD and the frequency of each series.
 
-    Steps are counted per value first: a regular series is a handful of distinct steps
-    however long it is, and the exact medians run on those counts.
+    Series that fit in a task are measured where the position window left them: one shuffle.
+    Otherwise steps are counted per value first (a regular series is a handful of distinct
+    steps however long it is) and the exact medians run on those counts.
     """
-    bounded = is_bounded(panel)
-    steps = deltas(panel).groupBy("series_id", "delta_s").agg(F.count(F.lit(1)).alias("_w"))
-    median = exact_quantile(steps, ["series_id"], "delta_s", 0.5, "median_s", F.col("_w"), bounded)
-    apart = steps.join(median, "series_id").withColumn("_d", F.abs(F.col("delta_s") - F.col("median_s")))
-    mad = exact_quantile(apart, ["series_id"], "_d", 0.5, "mad_s", F.col("_w"), bounded)
-    regular = (F.col("median_s") > 0) & (ratio(F.col("mad_s"), F.col("median_s")) <= MAX_DISPERSION)
-    named = F.when(regular, band_of(F.col("median_s")))
-    return (
-        panel.select("series_id")
-        .distinct()
-        .join(median.join(mad, "series_id"), "series_id", "left")
-        .select("series_id", "median_s", "mad_s", F.coalesce(named, F.lit("irregular")).alias("frequency"))
+    if is_bounded(panel):
+        measured = _with_median_step(_positioned(panel)).groupBy("series_id").agg(
+            F.first("_median").alias("median_s"),
+            F.percentile(F.abs(F.col("_step") - F.col("_median")), F.lit(0.5)).alias("mad_s"),
+        )
+    else:
+        steps = deltas(panel).groupBy("series_id", "delta_s").agg(F.count(F.lit(1)).alias("_w"))
+        median = exact_quantile(steps, ["series_id"], "delta_s", 0.5, "median_s", F.col("_w"))
+        apart = steps.join(median, "series_id").withColumn("_d", F.abs(F.col("delta_s") - F.col("median_s")))
+        mad = exact_quantile(apart, ["series_id"], "_d", 0.5, "mad_s", F.col("_w"))
+        measured = panel.select("series_id").distinct().join(median.join(mad, "series_id"), "series_id", "left")
+    return measured.select(
+        "series_id", "median_s", "mad_s", frequency_name(F.col("median_s"), F.col("mad_s")).alias("frequency")
     )
 
 
 def profile(panel: DataFrame) -> DataFrame:
-    """One row per series: range, frequency, duplicates, missing values and moments."""
-    freq = detect_frequency(panel).select("series_id", "frequency", "median_s")
-    return series_stats(panel).join(freq, "series_id")
+    """One row per series: range, frequency, duplicates, missing values and moments.
+
+    For series that fit in a task this is one shuffle, one window and one aggregate.
+    """
+    if not is_bounded(panel):
+        return series_stats(panel).join(detect_frequency(panel).select("series_id", "frequency", "median_s"), "series_id")
+    wide = _with_median_step(_positioned(panel)).groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.min("ts").alias("start_ts"),
+        F.max("ts").alias("end_ts"),
+        F.count_if(F.col("ts") == F.col("prev_ts")).alias("duplicate_timestamps"),
+        F.count_if(F.col("y").isNull()).alias("missing_count"),
+        *_moments("y", "c"),
+        F.first("_median").alias("median_s"),
+        F.percentile(F.abs(F.col("_step") - F.col("_median")), F.lit(0.5)).alias("mad_s"),
+    )
+    pct = ratio(F.col("missing_count"), F.col("row_count")) * 100
+    return wide.select(
+        "series_id", "row_count", "start_ts", "end_ts", "duplicate_timestamps", "missing_count",
+        exact_round(pct, 2).alias("missing_pct"),
+        *[F.col(f"c_{s}").alias(s) for s in _STATS],
+        frequency_name(F.col("median_s"), F.col("mad_s")).alias("frequency"),
+        "median_s",
+    )
 
 
 def profile_table(df: DataFrame, by: Sequence[str], ts: str | None = None) -> DataFrame:

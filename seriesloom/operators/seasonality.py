@@ -88,19 +88,22 @@ def despike(panel: DataFrame, anomalies: DataFrame) -> DataFrame:
 def detrend(panel: DataFrame) -> DataFrame:
     """Residuals ``e`` of the straight line over position, with ``n`` and the residual variance flag.
 
-    The line is one aggregate per series; the residuals are a projection after joining it.
+    The line is a window beside the positions, or one aggregate joined back for long series.
     """
     rows = compact(panel)
-    line = rows.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.regr_slope("y", "pos").alias("_slope"),
-        F.regr_intercept("y", "pos").alias("_cut"),
-        F.stddev_pop("y").alias("_sd"),
-    )
-    block = [] if is_bounded(panel) else ["block"]
-    return rows.join(line, "series_id").select(
-        "series_id", *block, "ts", "pos", "n", "_sd", (F.col("y") - (F.col("_cut") + F.col("_slope") * F.col("pos"))).alias("e")
-    )
+    line = {
+        "n": F.count(F.lit(1)),
+        "_slope": F.regr_slope("y", "pos"),
+        "_cut": F.regr_intercept("y", "pos"),
+        "_sd": F.stddev_pop("y"),
+    }
+    residual = (F.col("y") - (F.col("_cut") + F.col("_slope") * F.col("pos"))).alias("e")
+    if is_bounded(panel):
+        w = Window.partitionBy("series_id")
+        fitted = rows.select("*", *[e.over(w).alias(k) for k, e in line.items()])
+        return fitted.select("series_id", "ts", "pos", "n", "_sd", residual)
+    fitted = rows.join(rows.groupBy("series_id").agg(*[e.alias(k) for k, e in line.items()]), "series_id")
+    return fitted.select("series_id", "block", "ts", "pos", "n", "_sd", residual)
 
 
 def lag_products(max_lag: str, value: str, keys: list[str]):
@@ -191,36 +194,57 @@ def total_power(panel: DataFrame) -> DataFrame:
     return sums.select("series_id", "n", ((full + nyquist) / 2).alias("total_power"), F.col("_ss").alias("energy"))
 
 
-def seasonal_candidates(panel: DataFrame, frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Residuals with the lag limit of each series, and the periods the autocorrelation confirms."""
+def _season_kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Power and autocorrelation at every integer period of one series up to its lag limit."""
+    e = pdf.sort_values("pos")["e"].to_numpy(float)
+    n = len(e)
+    top = min(int(pdf["_limit"].iloc[0]), n // 2 - 1)
+    spectrum = np.abs(np.fft.rfft(e))[1:] ** 2
+    period = np.rint(1.0 / (np.arange(1, len(spectrum) + 1) * (1.0 / n))).astype(np.int64)
+    power = np.bincount(period[period <= top], spectrum[period <= top], top + 1)
+    have = np.unique(period[period <= top])
+    energy = float(e @ e)
+    at = np.array([e[p:] @ e[: n - p] for p in have]) / energy if energy else np.zeros(len(have))
+    return pd.DataFrame(
+        {"series_id": key[0], "n": n, "period": have, "power": power[have], "acf": at, "total_power": spectrum.sum()}
+    )
+
+
+def periods(panel: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``(series_id, n, period, power, acf, total_power)`` for periods inside the lag limit.
+
+    One kernel per series where it fits in a task; otherwise the piecewise autocorrelation,
+    the split spectrum and the Parseval total, joined per period.
+    """
     rows = detrend(panel).join(frequency.select("series_id", "frequency"), "series_id")
     rows = rows.where((F.col("n") >= MIN_OBS) & (F.col("_sd") > 0))
     rows = rows.withColumn("_limit", 2 * expected_period(F.col("frequency")))
-    size = rows.groupBy("series_id").agg(F.first("n").alias("n"))
-    confirmed = (
-        acf(rows, F.col("_limit"))
-        .join(size, "series_id")
-        .where((F.col("lag") > 0) & (F.col("acf") > F.lit(BAND) / F.sqrt("n")))
-        .select("series_id", F.col("lag").alias("period"))
+    if is_bounded(panel):
+        return rows.select("series_id", "pos", "e", "_limit").groupBy("series_id").applyInPandas(
+            _season_kernel,
+            "series_id string, n bigint, period int, power double, acf double, total_power double",
+        )
+    lags = acf(rows, F.col("_limit")).where(F.col("lag") > 0).withColumnRenamed("lag", "period")
+    per_period = power(rows).groupBy("series_id", "period").agg(F.sum("power").alias("power"))
+    return lags.join(per_period, ["series_id", "period"]).join(total_power(rows), "series_id").select(
+        "series_id", "n", "period", "power", "acf", "total_power"
     )
-    return rows, confirmed
 
 
 def detect_seasonality(panel: DataFrame, frequency: DataFrame) -> DataFrame:
     """Confirmed periods, the dominant one and the share of power they explain, per series."""
-    rows, confirmed = seasonal_candidates(panel, frequency)
-    per_period = power(rows).groupBy("series_id", "period").agg(F.sum("power").alias("power"))
-    kept = per_period.join(confirmed, ["series_id", "period"])
+    kept = periods(panel, frequency).where(F.col("acf") > F.lit(BAND) / F.sqrt("n"))
     found = kept.groupBy("series_id").agg(
         F.sort_array(F.collect_list("period")).alias("detected_periods"),
         F.max_by("period", F.struct("power", -F.col("period"))).alias("dominant_period"),
         F.sum("power").alias("_confirmed"),
+        F.first("total_power").alias("total_power"),
     )
     share = ratio(F.col("_confirmed"), F.col("total_power"))
     empty = F.array().cast("array<int>")
     return (
         panel.select("series_id").distinct()
-        .join(found.join(total_power(rows), "series_id"), "series_id", "left")
+        .join(found, "series_id", "left")
         .select(
             "series_id",
             F.col("detected_periods").isNotNull().alias("has_seasonality"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.numeric import exact_round
-from seriesloom.functions.order import pieces
+from seriesloom.functions.order import PIECE_ROWS, pieces
 from seriesloom.operators.seasonality import lagged_sums
 from seriesloom.sources.panel import compact, is_bounded
 
@@ -94,6 +94,15 @@ def _design(x: np.ndarray, first: int, lags: int) -> np.ndarray:
     return np.column_stack(columns)
 
 
+def _design_gram(x: np.ndarray, first: int, lags: int) -> np.ndarray:
+    """Gram matrix of the design, built a bounded number of rows at a time."""
+    g = np.zeros((lags + 3, lags + 3))
+    for lo in range(first, len(x), PIECE_ROWS):
+        rows = _design(x[max(lo - lags - 1, 0) : lo + PIECE_ROWS], min(lo, lags + 1), lags)
+        g += rows.T @ rows
+    return g
+
+
 def _adf_partial(keys: list[str]):
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -102,8 +111,7 @@ def _adf_partial(keys: list[str]):
         pos = pdf["pos"].to_numpy(np.int64)
         head = int((~pdf["core"].to_numpy(bool)).sum())
         first = max(head, lags + 1)
-        rows = _design(x, first, lags) if len(x) > first else np.zeros((0, lags + 3))
-        g = rows.T @ rows
+        g = _design_gram(x, first, lags)
         i, j = np.triu_indices(lags + 3)
         cells = pd.DataFrame({"i": i, "j": j, "v": g[i, j]})
         start = (pos <= lags + 1) & pdf["core"].to_numpy(bool)  # the series' first values, for the refit
@@ -130,6 +138,28 @@ def adf_pvalue(tau: float) -> float:
     return 0.5 * math.erfc(-sum(c * tau**i for i, c in enumerate(powers)) / math.sqrt(2.0))
 
 
+def adf_from_sums(g: np.ndarray, edge: np.ndarray, n: int) -> tuple[float, int]:
+    """Statistic and AIC lag from the Gram matrix of all lags and the series' first values."""
+    size = len(g)
+    lags = size - 3
+    common = n - 1 - lags
+    best, best_aic = 0, math.inf
+    for lag in range(lags + 1):
+        _, ssr, _ = _fit(g, lag + 2)
+        aic = common * math.log(max(ssr, 1e-300) / common) + 2 * (lag + 2)
+        if aic < best_aic:
+            best, best_aic = lag, aic
+    # Refit on the longer sample: the same sums plus the rows only this lag can use.
+    keep = [*range(best + 2), size - 1]
+    extra = _design(edge[: lags + 1], best + 1, best)
+    full = g[np.ix_(keep, keep)] + extra.T @ extra
+    beta, ssr, inverse = _fit(full, best + 2)
+    spread = math.sqrt(max(ssr / max(n - 2 * best - 3, 1) * inverse[1, 1], 0.0))
+    if spread == 0:
+        return (-math.inf if beta[1] < 0 else math.inf), best
+    return float(beta[1]) / spread, best
+
+
 def _adf_solve(keys: list[str]):
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cells = pdf[pdf["i"] >= 0]
@@ -137,25 +167,9 @@ def _adf_solve(keys: list[str]):
         g = np.zeros((size, size))
         g[cells["i"], cells["j"]] = cells["v"]
         g[cells["j"], cells["i"]] = cells["v"]
-        lags, n = size - 3, int(pdf["n"].iloc[0])
-        common = n - 1 - lags
-        best, best_aic = 0, math.inf
-        for lag in range(lags + 1):
-            _, ssr, _ = _fit(g, lag + 2)
-            aic = common * math.log(max(ssr, 1e-300) / common) + 2 * (lag + 2)
-            if aic < best_aic:
-                best, best_aic = lag, aic
-        # Refit on the longer sample: the same sums plus the rows only this lag can use.
-        keep = [*range(best + 2), size - 1]
-        full = g[np.ix_(keep, keep)].copy()
         edge = pdf[pdf["i"] < 0].sort_values("j")["v"].to_numpy()
-        extra = _design(edge[: lags + 1], best + 1, best)
-        full += extra.T @ extra
-        rows = n - 1 - best
-        beta, ssr, inverse = _fit(full, best + 2)
-        spread = math.sqrt(max(ssr / max(rows - best - 2, 1) * inverse[1, 1], 0.0))
-        tau = float(beta[1]) / spread if spread > 0 else (-math.inf if beta[1] < 0 else math.inf)
-        out = pd.DataFrame({"stat": [tau], "lag": [best], "p": [adf_pvalue(tau)]})
+        tau, lag = adf_from_sums(g, edge, int(pdf["n"].iloc[0]))
+        out = pd.DataFrame({"stat": [tau], "lag": [lag], "p": [adf_pvalue(tau)]})
         return out.assign(**dict(zip(keys, key)))[[*keys, "stat", "lag", "p"]]
 
     return kernel
@@ -165,8 +179,8 @@ def _key_schema(df: DataFrame, by: Sequence[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
 
 
-def adf(panel: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
-    """Augmented Dickey-Fuller test with a constant, lag chosen by AIC.
+def adf(panel: DataFrame, by: Sequence[str] = ("series_id",), max_lag: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant, lag chosen by AIC up to ``max_lag``.
 
     Each piece adds its rows to a small matrix of sums; the matrices are added per series
     and solved once for all lags. Only sums, never rows, meet in one place. Needs ``pos``
@@ -179,7 +193,7 @@ def adf(panel: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
     rows = (
         panel.join(stats.where((F.col("_s") > 0) & (F.col("n") >= 6)), by)
         .withColumn("_z", (F.col("y") - F.col("_m")) / F.col("_s"))
-        .withColumn("_lags", adf_max_lag(F.col("n")))
+        .withColumn("_lags", adf_max_lag(F.col("n")) if max_lag is None else F.lit(max_lag))
     )
     cut = pieces(rows.select(*by, "pos", "_z", "_lags"), F.col("_lags") + 1)
     keys = _key_schema(panel, by)
@@ -259,7 +273,7 @@ def kpss(panel: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
     )
     cut = pieces(rows.drop("_c").join(bandwidth, by), F.col("lags"))
     # Windows reach one piece further than the data; those rows have no core row.
-    cut = cut.where(F.col("piece") <= F.floor((F.col("n") - 1) / 65_536))
+    cut = cut.where(F.col("piece") <= F.floor((F.col("n") - 1) / PIECE_ROWS))
     keys = _key_schema(panel, by)
     parts = cut.groupBy(*by, "piece").applyInPandas(
         _cumulated(by), f"{keys}, piece bigint, m bigint, s1 double, s2 double, total double, mv double"
@@ -276,19 +290,67 @@ def kpss(panel: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
     return final.select(*by, stat.alias("stat"), "lags").withColumn("p", kpss_pvalue(F.col("stat")))
 
 
-# -- verdict -----------------------------------------------------------------------
+# -- one series in one task ------------------------------------------------------------
 
 
-def check_stationarity(panel: DataFrame) -> DataFrame:
-    """Both tests on the series and its two differences in one job, and the verdict per series."""
-    diffs = differences(panel)
-    by = ["series_id", "d"]
+def kpss_whole(e: np.ndarray) -> tuple[float, int]:
+    """Statistic and bandwidth from the centred values of one series."""
+    n = len(e)
+    c = int(math.floor(n ** (2.0 / 9.0)))
+    sums = np.array([e[lag:] @ e[: n - lag] for lag in range(c + 1)])
+    q = np.where(np.arange(c + 1) == 0, 1.0, 2.0) * sums / n
+    s0, s1 = float(q.sum()), float((np.arange(c + 1) * q).sum())
+    ratio_ = ((s1 / s0) ** 2) ** (1.0 / 3.0) if s0 else 0.0
+    lags = int(min(math.floor(1.1447 * ratio_ * n ** (1.0 / 3.0)), n - 1))
+    total = np.concatenate([[0.0], np.cumsum(e), np.full(lags, e.sum())])
+    moving = total[1:] - np.concatenate([np.zeros(lags + 1), total])[1 : len(total)]
+    variance = float(moving @ moving) / (lags + 1) / n
+    eta = float(total[1 : n + 1] @ total[1 : n + 1]) / (float(n) * n)
+    return (eta / variance if variance else math.nan), lags
+
+
+def _whole_kernel(keys: list[str]):
+    table_x, table_p = zip(*KPSS_TABLE)
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("pos")["y"].to_numpy(float)
+        n = len(y)
+        sd = float(y.std(ddof=1)) if n > 1 and (y != y[0]).any() else 0.0
+        adf_p = kpss_p = None
+        if n >= MIN_OBS and sd > 0:
+            z = (y - y.mean()) / y.std()
+            lags = max(min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2), 0)
+            tau, _ = adf_from_sums(_design_gram(z, lags + 1, lags), z[: lags + 2], n)
+            stat, _ = kpss_whole(z)
+            adf_p, kpss_p = adf_pvalue(tau), float(np.interp(stat, table_x, table_p))
+        row = {**dict(zip(keys, key)), "n": n, "sd": sd, "adf_p": adf_p, "kpss_p": kpss_p}
+        return pd.DataFrame([row]).astype({"adf_p": float, "kpss_p": float})
+
+    return kernel
+
+
+def stationarity_tests(diffs: DataFrame, by: Sequence[str], bounded: bool) -> DataFrame:
+    """``(…by, n, sd, adf_p, kpss_p)``: one kernel per group if it fits in a task, else by pieces."""
+    by = list(by)
+    if bounded:
+        tests = diffs.select(*by, "pos", "y").groupBy(*by).applyInPandas(
+            _whole_kernel(by), f"{_key_schema(diffs, by)}, n bigint, sd double, adf_p double, kpss_p double"
+        )
+        clean = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("adf_p", "kpss_p")]
+        return tests.select(*by, "n", "sd", *clean)
     size = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("sd"))
     tested = diffs.join(size.where((F.col("n") >= MIN_OBS) & (F.col("sd") > 0)).select(*by), by)
-    tests = (
-        size.join(adf(tested, by).select(*by, F.col("p").alias("adf_p")), by, "left")
-        .join(kpss(tested, by).select(*by, F.col("p").alias("kpss_p")), by, "left")
+    return size.join(adf(tested, by).select(*by, F.col("p").alias("adf_p")), by, "left").join(
+        kpss(tested, by).select(*by, F.col("p").alias("kpss_p")), by, "left"
     )
+
+
+# -- verdict -----------------------------------------------------------------------
+
+
+def check_stationarity(panel: DataFrame) -> DataFrame:
+    """Both tests on the series and its two differences in one job, and the verdict per series."""
+    tests = stationarity_tests(differences(panel), ["series_id", "d"], is_bounded(panel))
     # A constant difference has nothing left to remove, so it passes.
     constant = (F.col("n") >= MIN_OBS) & (F.col("sd") == 0)
     passes = F.coalesce(constant | ((F.col("adf_p") < ALPHA) & (F.col("kpss_p") > ALPHA)), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.lineage import checkpoint
 from seriesloom.functions.numeric import exact_round
 from seriesloom.operators.anomaly import anomaly_counts, anomaly_methods, detect_anomalies
-from seriesloom.operators.profile import detect_frequency, series_stats
+from seriesloom.operators.profile import profile as measure
 from seriesloom.operators.seasonality import despike, detect_seasonality
 from seriesloom.operators.stationarity import check_stationarity
 from seriesloom.sources.panel import with_pos
@@ -24,8 +24,9 @@ def full_diagnosis(panel: DataFrame, target: str = "y", method: str = "auto") ->
     rows = checkpoint(with_pos(panel))
     methods = checkpoint(anomaly_methods(rows, method))
     anomalies = checkpoint(detect_anomalies(rows, methods=methods))
-    frequency = detect_frequency(rows)
-    profile = series_stats(rows).join(frequency, "series_id").select(
+    measured = checkpoint(measure(rows))
+    frequency = measured.select("series_id", "frequency")
+    profile = measured.select(
         "series_id",
         F.struct(
             "row_count",
