@@ -25,6 +25,15 @@ def pieces(df: DataFrame, halo: Column | int = 0, size: int = PIECE_ROWS) -> Dat
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all shuffle partitions before a CPU-heavy kernel.
+
+    Adaptive execution merges small partitions by their bytes; a few megabytes of series can
+    be hours of fitting, and a fixed number of partitions keeps them apart.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _coarse(value: Column) -> Column:
     """A monotone, coarse key of a double: sign, exponent and about 13 bits of mantissa."""
     size = F.abs(value)

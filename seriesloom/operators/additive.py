@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.order import PIECE_ROWS, pieces
+from seriesloom.functions.lineage import checkpoint
+from seriesloom.functions.order import PIECE_ROWS, pieces, spread
 from seriesloom.operators.ets import Z80, Z95, failures, irregular_series
 from seriesloom.operators.grid import future_grid, steps_of
 from seriesloom.sources.panel import compact, is_bounded
@@ -254,10 +255,10 @@ def additive(
     n_changepoints: int = CHANGEPOINTS,
 ) -> DataFrame:
     """Fit and forecast every series; missing values are skipped, future times follow the step."""
-    steps = steps_of(panel)
-    rows = compact(panel)
-    spec = additive_spec(rows, yearly, weekly, daily, n_changepoints)
-    fit = fit_additive(rows, spec, changepoint_scale, is_bounded(panel))
+    steps = checkpoint(steps_of(panel))
+    rows = compact(spread(panel, "series_id") if is_bounded(panel) else panel)
+    spec = checkpoint(additive_spec(rows, yearly, weekly, daily, n_changepoints))
+    fit = checkpoint(fit_additive(rows, spec, changepoint_scale, is_bounded(panel)))
     grid = future_grid(panel, horizon, steps)
     meta = F.create_map(
         F.lit("changepoint_prior_scale"), F.lit(str(changepoint_scale)),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.numeric import exact_round
-from seriesloom.functions.order import exact_quantile, pieces
+from seriesloom.functions.order import exact_quantile, pieces, spread
 from seriesloom.sources.panel import drop_missing, is_bounded, with_pos
 
 # Flag threshold in standard deviations, expected share of anomalies,
@@ -163,8 +163,7 @@ def forest_scores(panel: DataFrame, trees: int = TREES, seed: int = 0) -> DataFr
     schema = "series_id string, pos bigint, value double, score double"
     if is_bounded(panel):
         return (
-            drop_missing(positioned(panel))
-            .select("series_id", "pos", "y")
+            spread(drop_missing(positioned(panel)).select("series_id", "pos", "y"), "series_id")
             .groupBy("series_id")
             .applyInPandas(_scores_kernel(trees, seed), schema)
         )

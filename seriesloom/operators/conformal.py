@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.lineage import checkpoint
 from seriesloom.functions.numeric import exact_round
 from seriesloom.functions.order import order_statistics
 from seriesloom.operators.grid import horizons
@@ -90,6 +91,7 @@ def conformal(base: Forecaster, panel: DataFrame, horizon: int | DataFrame) -> D
     made = base(both, ahead.unionByName(back)).withColumn("_cut", F.substring("series_id", 1, 1)).withColumn(
         "series_id", F.expr("substring(series_id, 2)")
     )
+    made = checkpoint(made)  # read for the scores, the errors and the result
     scores = calibration_scores(sized, made.where((F.col("_cut") == "t") & F.col("error").isNull()))
     widths = conformal_quantile(scores, ["series_id"], {"q80": 0.20, "q95": 0.05}, bounded=is_bounded(panel))
     errors = made.where(F.col("error").isNotNull()).groupBy("series_id").agg(F.min("error").alias("_failed"))

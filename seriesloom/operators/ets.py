@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions.lineage import checkpoint
 from seriesloom.functions.numeric import exact_round, ratio
-from seriesloom.functions.order import PIECE_ROWS, pieces
+from seriesloom.functions.order import PIECE_ROWS, pieces, spread
 from seriesloom.operators.grid import future_grid, period_of, steps_of
 from seriesloom.sources.panel import SERIES_ROWS, is_bounded, with_pos
 
@@ -76,37 +77,39 @@ def sweep(y: np.ndarray, start: int, params: np.ndarray, m: int, trend: bool) ->
     """
     k, base = len(params), 1 + int(trend)
     p = base + m
-    alpha, beta, gamma, phi = (params[:, [i]] for i in range(4))
-    state = np.zeros((k, p, p + 1))
-    state[:, np.arange(p), np.arange(p)] = 1.0
+    alpha, beta, gamma, phi = (np.repeat(params[:, [i]], p + 1, axis=1) for i in range(4))
+    parts = np.zeros((p, k, p + 1))
+    parts[np.arange(p), :, np.arange(p)] = 1.0
+    level, slope, season = parts[0], parts[1] if trend else None, parts[base:]
     gram = np.zeros((k, p + 1, p + 1))
     size = max(1, min(len(y), 4_000_000 // (k * (p + 1)) + 1, 1024))
-    buffer = np.empty((k, size, p + 1))
+    buffer, step = np.empty((size, k, p + 1)), np.empty((k, p + 1))
     filled = 0
-    for i, value in enumerate(y):
-        ahead = state[:, 0]
+    for i, value in enumerate(y.tolist()):
         if trend:
-            slope = phi * state[:, 1]
-            ahead = ahead + slope
-        e = -ahead
+            slope *= phi
+            level += slope
+        e = buffer[filled]
         if m:
-            j = base + (start + i) % m
-            e = e - state[:, j]
+            now = season[(start + i) % m]
+            np.add(level, now, out=e)
+            np.negative(e, out=e)
+        else:
+            np.negative(level, out=e)
         e[:, -1] += value
-        state[:, 0] = ahead + alpha * e
+        level += np.multiply(alpha, e, out=step)
         if trend:
-            state[:, 1] = slope + beta * e
+            slope += np.multiply(beta, e, out=step)
         if m:
-            state[:, j] += gamma * e
-        buffer[:, filled] = e
+            now += np.multiply(gamma, e, out=step)
         filled += 1
         if filled == size:
-            gram += buffer.transpose(0, 2, 1) @ buffer
+            gram += buffer.transpose(1, 2, 0) @ buffer.transpose(1, 0, 2)
             filled = 0
     if filled:
-        part = buffer[:, :filled]
-        gram += part.transpose(0, 2, 1) @ part
-    return gram, state
+        part = buffer[:filled]
+        gram += part.transpose(1, 2, 0) @ part.transpose(1, 0, 2)
+    return gram, parts.transpose(1, 0, 2)
 
 
 def best_initial(gram: np.ndarray, m: int, trend: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +283,7 @@ def fit_ets(
     its message in ``error``.
     """
     steps = steps_of(panel) if steps is None else steps
-    rows = with_pos(panel)
+    rows = with_pos(spread(panel, "series_id") if is_bounded(panel) else panel)
     sizes = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     period, fell_back = period_of(F.col("n"), F.col("step"), seasonal_periods)
     if seasonal is None:
@@ -509,9 +512,10 @@ def ets(
     fixed: dict | None = None,
 ) -> DataFrame:
     """Fit and forecast every series; series that fail have one row with ``error``."""
-    steps = steps_of(panel)
+    steps = checkpoint(steps_of(panel))
     usable = panel.join(steps.where("regular").select("series_id"), "series_id", "left_semi")
-    fit = fit_ets(usable, seasonal_periods, error, trend, seasonal, damped, fixed, steps)
+    # One small row per series, expensive to make and read twice below.
+    fit = checkpoint(fit_ets(usable, seasonal_periods, error, trend, seasonal, damped, fixed, steps))
     grid = future_grid(panel, horizon, steps)
     bad = fit.where(F.col("error").isNotNull()).select("series_id", "error").unionByName(irregular_series(steps))
     return predict_ets(fit, grid, trend, seasonal, error).unionByName(failures(bad, "ets"))

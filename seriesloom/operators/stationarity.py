@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.numeric import exact_round
-from seriesloom.functions.order import PIECE_ROWS, pieces
+from seriesloom.functions.order import PIECE_ROWS, pieces, spread
 from seriesloom.operators.seasonality import lagged_sums
 from seriesloom.sources.panel import compact, is_bounded
 
@@ -333,7 +333,7 @@ def stationarity_tests(diffs: DataFrame, by: Sequence[str], bounded: bool) -> Da
     """``(…by, n, sd, adf_p, kpss_p)``: one kernel per group if it fits in a task, else by pieces."""
     by = list(by)
     if bounded:
-        tests = diffs.select(*by, "pos", "y").groupBy(*by).applyInPandas(
+        tests = spread(diffs.select(*by, "pos", "y"), *by).groupBy(*by).applyInPandas(
             _whole_kernel(by), f"{_key_schema(diffs, by)}, n bigint, sd double, adf_p double, kpss_p double"
         )
         clean = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("adf_p", "kpss_p")]

@@ -90,11 +90,14 @@ def run_jobs(requests: DataFrame, panel: DataFrame) -> ForecastBatch:
     checked = checkpoint(check_requests(requests, panel))
     accepted = checked.where(F.col("error").isNull())
     variants = accepted.select("model_name", "conformal").distinct().collect()
+    # Every variant reads the panel several times; only requested series are kept.
+    wanted = accepted.select("series_id").distinct()
+    used = checkpoint(panel.join(wanted, "series_id", "left_semi")) if variants else panel
     made = None
     for name, wrapped in sorted((r["model_name"], r["conformal"]) for r in variants):
         mine = accepted.where((F.col("model_name") == name) & (F.col("conformal") == wrapped))
         need = mine.groupBy("series_id").agg(F.max("horizon").alias("horizon"))
-        part = build(name, wrapped)(panel.join(need.select("series_id"), "series_id", "left_semi"), need)
+        part = build(name, wrapped)(used.join(need.select("series_id"), "series_id", "left_semi"), need)
         made = part if made is None else made.unionByName(part)
     if made is None:
         jobs = checked.select(*_JOB, F.lit("failed").alias("status"), "error", F.current_timestamp().alias("finished_at"))

@@ -32,17 +32,9 @@ def stream_jobs(
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy("job_id").agg(
-            F.min_by(F.struct(*[c for c in batch.columns if c != "job_id"]), "created_at").alias("_r"),
-            F.min(F.struct("series_id", "model_name", "horizon")).alias("_first"),
-        )
         fields = [c for c in batch.columns if c != "job_id"]
-        # min_by skips requests without a creation time; those keep their first form.
-        new = new.select("job_id", *[
-            F.coalesce(F.col(f"_r.{c}"), F.col(f"_first.{c}")).alias(c) if c in ("series_id", "model_name", "horizon")
-            else F.col(f"_r.{c}").alias(c)
-            for c in fields
-        ])
+        first = F.min_by(F.struct(*fields), F.struct("created_at", "series_id", "model_name", "horizon", "conformal"))
+        new = batch.groupBy("job_id").agg(first.alias("r")).select("job_id", "r.*")
         done = finished_jobs(spark, out)
         if done is not None:
             earlier = done.where(F.col("batch") < batch_id).select("job_id")
