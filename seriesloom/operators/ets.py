@@ -312,7 +312,7 @@ def fit_ets(
     return fitted.unionByName(fit_pieces(long_rows, trend is not None, damped, seasonal is not None, fixed))
 
 
-_FORM = "series_id string, piece bigint, n bigint, period int, fell_back boolean, points array<double>, gram array<double>, state array<double>"
+_FORM = "series_id string, candidate int, piece bigint, n bigint, period int, fell_back boolean, points array<double>, gram array<double>, state array<double>"
 
 
 def _piece_kernel(trend: bool, damped: bool, seasonal: bool, fixed: dict | None, turn: int):
@@ -327,6 +327,7 @@ def _piece_kernel(trend: bool, damped: bool, seasonal: bool, fixed: dict | None,
         return pd.DataFrame(
             {
                 "series_id": key[0],
+                "candidate": range(len(points)),
                 "piece": key[1],
                 "n": int(pdf["n"].iloc[0]),
                 "period": pd.array([m or None] * len(points), dtype="Int32"),
@@ -376,7 +377,7 @@ def _finish_kernel(trend: bool, damped: bool, seasonal: bool, fixed: dict | None
     return kernel
 
 
-def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed: dict | None = None, size: int = PIECE_ROWS) -> DataFrame:
+def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed: dict | None = None) -> DataFrame:
     """The same search for long series: each round is one pass over the pieces.
 
     A group of the first shuffle is one piece; a group of the second is one candidate of one
@@ -391,7 +392,7 @@ def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed
         "series_id",
         F.lit("ValueError: ets does not handle missing values — drop or interpolate them first.").alias("error"),
     )
-    cut = pieces(rows, 0, size).join(scale.where(F.col("_missing") == 0).drop("_missing"), "series_id")
+    cut = pieces(rows).join(scale.where(F.col("_missing") == 0).drop("_missing"), "series_id")
     result = "series_id string, best array<double>, sse double, end array<double>, n bigint, period int, fell_back boolean"
     best = None
     for turn in range(_ROUNDS + 1):
@@ -399,7 +400,7 @@ def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed
         forms = source.groupBy("series_id", "piece").applyInPandas(
             _piece_kernel(trend, damped, seasonal, fixed, turn), _FORM
         )
-        tried = forms.groupBy("series_id", "points").applyInPandas(_fold_forms(trend, damped, seasonal, fixed), result)
+        tried = forms.groupBy("series_id", "candidate").applyInPandas(_fold_forms(trend, damped, seasonal, fixed), result)
         # The zero move keeps the previous best among the candidates.
         best = tried.groupBy("series_id").agg(
             F.min_by(F.struct("best", "sse", "end", "n", "period", "fell_back"), "sse").alias("_b")
