@@ -49,20 +49,22 @@ def interpolate(panel: DataFrame) -> DataFrame:
     cut = panel if is_bounded(panel) else pieces(panel).drop("core")
     group = ["series_id"] if is_bounded(panel) else ["series_id", "piece"]
     before = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*group).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is looking back in reverse order: a frame that only grows is linear,
+    # one that shrinks from the far end is evaluated anew for every row.
+    after = Window.partitionBy(*group).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
     filled = cut.withColumn("_lo", F.last(known, ignorenulls=True).over(before)).withColumn(
-        "_hi", F.first(known, ignorenulls=True).over(after)
+        "_hi", F.last(known, ignorenulls=True).over(after)
     )
     if not is_bounded(panel):
         left = Window.partitionBy("series_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-        right = Window.partitionBy("series_id").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
+        right = Window.partitionBy("series_id").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
         edges = (
             cut.groupBy(*group)
             .agg(F.max(known).alias("_last"), F.min(known).alias("_first"))
             .select(
                 *group,
                 F.last("_last", ignorenulls=True).over(left).alias("_carry"),
-                F.first("_first", ignorenulls=True).over(right).alias("_ahead"),
+                F.last("_first", ignorenulls=True).over(right).alias("_ahead"),
             )
         )
         filled = (

@@ -24,9 +24,13 @@ _VECTOR_BLOCK = 200_000
 
 
 class Embedder(Protocol):
-    """``name`` identifies the vector space; ``column`` turns text into ``array<float>``."""
+    """``name`` identifies the vector space; ``column`` turns text into ``array<float>``.
+
+    ``dim`` is the vectors' length, or None if only the model knows.
+    """
 
     name: str
+    dim: int | None
 
     def column(self, text: Column) -> Column: ...
 
@@ -36,9 +40,10 @@ class WordCountEmbedder:
 
     def __init__(self, name: str = "word-count", words: Sequence[str] = VOCABULARY) -> None:
         self.name, self.words = name, tuple(words)
+        self.dim = len(self.words)
 
     def column(self, text: Column) -> Column:
-        low = F.lower(text)
+        low = F.lower(F.coalesce(text, F.lit("")))
         counts = [
             ((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / F.lit(len(w))).cast("float")
             for w in self.words
@@ -49,8 +54,10 @@ class WordCountEmbedder:
 class ModelEmbedder:
     """Any model: ``load()`` runs once per Python worker and returns texts -> (rows, dim)."""
 
-    def __init__(self, name: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> None:
-        self.name, self._load = name, load
+    def __init__(
+        self, name: str, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int | None = None
+    ) -> None:
+        self.name, self._load, self.dim = name, load, dim
 
     def column(self, text: Column) -> Column:
         load = self._load
@@ -66,10 +73,11 @@ class ModelEmbedder:
 
 def embed(df: DataFrame, text_col: str, embedder: Embedder) -> DataFrame:
     """Add ``embedding``, ``embedding_model`` and ``dim``."""
+    dim = F.size("embedding") if embedder.dim is None else F.lit(embedder.dim)
     return (
         df.withColumn("embedding", embedder.column(F.col(text_col)))
         .withColumn("embedding_model", F.lit(embedder.name))
-        .withColumn("dim", F.size("embedding"))
+        .withColumn("dim", dim)
     )
 
 
