@@ -255,6 +255,7 @@ def additive(
     n_changepoints: int = CHANGEPOINTS,
 ) -> DataFrame:
     """Fit and forecast every series; missing values are skipped, future times follow the step."""
+    panel = checkpoint(panel)  # read by the step, the fit and the grid
     steps = checkpoint(steps_of(panel))
     rows = compact(spread(panel, "series_id") if is_bounded(panel) else panel)
     spec = checkpoint(additive_spec(rows, yearly, weekly, daily, n_changepoints))

@@ -81,6 +81,7 @@ def calibration_scores(sized: DataFrame, train_forecast: DataFrame) -> DataFrame
 
 def conformal(base: Forecaster, panel: DataFrame, horizon: int | DataFrame) -> DataFrame:
     """The base model's point forecast with one half-width per level for all steps."""
+    panel = checkpoint(panel)  # read for the cuts, the sizes and the scores
     sized, both = split_panel(panel)
     sizes = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     ahead = horizons(panel, horizon).select(F.concat(F.lit("f"), F.col("series_id")).alias("series_id"), "horizon")

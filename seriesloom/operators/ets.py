@@ -381,7 +381,7 @@ def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed
     """The same search for long series: each round is one pass over the pieces.
 
     A group of the first shuffle is one piece; a group of the second is one candidate of one
-    series and holds one small matrix per piece. Rounds are chained lazily.
+    series and holds one small matrix per piece.
     """
     scale = rows.groupBy("series_id").agg(
         F.avg("y").alias("m_"),
@@ -392,7 +392,8 @@ def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed
         "series_id",
         F.lit("ValueError: ets does not handle missing values — drop or interpolate them first.").alias("error"),
     )
-    cut = pieces(rows).join(scale.where(F.col("_missing") == 0).drop("_missing"), "series_id")
+    # Every round reads the rows again, and each depends on the one before: both are cut off here.
+    cut = checkpoint(pieces(rows).join(scale.where(F.col("_missing") == 0).drop("_missing"), "series_id"))
     result = "series_id string, best array<double>, sse double, end array<double>, n bigint, period int, fell_back boolean"
     best = None
     for turn in range(_ROUNDS + 1):
@@ -402,9 +403,11 @@ def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed
         )
         tried = forms.groupBy("series_id", "candidate").applyInPandas(_fold_forms(trend, damped, seasonal, fixed), result)
         # The zero move keeps the previous best among the candidates.
-        best = tried.groupBy("series_id").agg(
-            F.min_by(F.struct("best", "sse", "end", "n", "period", "fell_back"), "sse").alias("_b")
-        ).select("series_id", "_b.*")
+        best = checkpoint(
+            tried.groupBy("series_id")
+            .agg(F.min_by(F.struct("best", "sse", "end", "n", "period", "fell_back"), "sse").alias("_b"))
+            .select("series_id", "_b.*")
+        )
         if fixed and set(fixed) >= {"alpha", "beta", "gamma", "phi"}:
             break
     done = best.join(scale.drop("_missing"), "series_id").groupBy("series_id").applyInPandas(
@@ -513,6 +516,7 @@ def ets(
     fixed: dict | None = None,
 ) -> DataFrame:
     """Fit and forecast every series; series that fail have one row with ``error``."""
+    panel = checkpoint(panel)  # read by the step, the fit and the grid
     steps = checkpoint(steps_of(panel))
     usable = panel.join(steps.where("regular").select("series_id"), "series_id", "left_semi")
     # One small row per series, expensive to make and read twice below.

@@ -7,11 +7,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
+from seriesloom.functions.lineage import checkpoint
 from seriesloom.plans.diagnosis import digest, full_diagnosis
 
 # The words counted by the default embedder, and the limits of k.
@@ -228,10 +228,11 @@ def memories_from_jobs(jobs: DataFrame, embedder: Embedder) -> DataFrame:
 def recall_many(memories: DataFrame, queries: DataFrame, k: int, embedder: Embedder, text_col: str = "text") -> DataFrame:
     """The k closest memories of each query text ``(query_id, text)``, with what was run on them."""
     asked = embed(queries, text_col, embedder)
-    row = asked.select("dim").first()
-    if row is None:
-        return memories.where(F.lit(False))
-    space = same_space(memories, embedder.name, row["dim"])
+    dim = embedder.dim
+    if dim is None:  # only the model knows: one query tells
+        first = asked.select("dim").first()
+        dim = first["dim"] if first else 0
+    space = same_space(memories, embedder.name, dim)
     hits = cosine_top_k(space, asked, k, "job_id").withColumnRenamed("id", "job_id")
     payload = space.select("job_id", "text", "model_name", "meta", "created_at")
     return hits.join(payload, "job_id").select(
@@ -250,6 +251,7 @@ def recall_by_series(
 ) -> DataFrame:
     """The k memories most like each series: diagnose it, write its digest, recall by that."""
     queries = digest(full_diagnosis(panel)).select(F.col("series_id").alias("query_id"), F.col("summary").alias("text"))
+    queries = checkpoint(queries)  # read again by the search
     return recall_many(memories, queries, k, embedder or WordCountEmbedder())
 
 

@@ -50,6 +50,7 @@ def local_session(cores: int = 8, name: str = "seriesloom") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-", dir="/tmp"))
         .getOrCreate()
     )
