@@ -124,8 +124,9 @@ SELECT series_id, count(*) AS row_count, min(ts) AS start_ts, max(ts) AS end_ts,
 FROM ({panel}) GROUP BY 1"""
 
 
-def _stats(df):
+def _stats(df, *extra):
     return df.select(
+        *extra,
         "series_id", "row_count", ntz("start_ts").alias("start_ts"), ntz("end_ts").alias("end_ts"),
         "duplicate_timestamps", "missing_count", r("missing_pct", 2).alias("missing_pct"),
         *[r(c, 4).alias(c) for c in ("mean", "std", "min", "max")], r("skew").alias("skew"), r("kurtosis").alias("kurtosis"),
@@ -238,8 +239,7 @@ for _name, (_sql, _panel) in _GRAINS.items():
     f"SELECT s.*, frequency FROM ({_stats_sql(GAPPY)}) s JOIN ({frequency_sql(GAPPY)}) f USING (series_id)",
 )
 def _(t: Tables):
-    table = P.profile(t.gappy())
-    return _stats(table).join(table.select("series_id", "frequency"), "series_id")
+    return _stats(P.profile(t.gappy()), "frequency")
 
 
 @query(
