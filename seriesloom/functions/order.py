@@ -31,7 +31,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Adaptive execution merges small partitions by their bytes; a few megabytes of series can
     be hours of fitting, and a fixed number of partitions keeps them apart.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):  # cores are known and fixed
+        parts = min(parts, 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
 
 
 def _coarse(value: Column) -> Column:
