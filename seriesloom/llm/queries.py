@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seriesloom.llm.chat import perspectives
+from seriesloom.llm.exact_dedup import exact_groups
+from seriesloom.llm.line_dedup import drop_common_lines
 from seriesloom.llm.session import documents
 from seriesloom.llm.token_counts import token_counts
 
@@ -28,3 +32,65 @@ def query(name: str, sql: str | None = None):
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op2_exact_dedup",
+    """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+)
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of equal documents; the largest id stays."""
+    return exact_groups(documents(spark, folder))
+
+
+@query(
+    "op5_line_dedup",
+    """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+keyed AS (
+  SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (c.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common c ON keyed.k = c.k GROUP BY doc_id""",
+)
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of at least ten documents dropped everywhere."""
+    kept = drop_common_lines(documents(spark, folder))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op10_chat_formatting",
+    """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS body,
+         coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS block FROM conversations),
+people AS (SELECT DISTINCT conv_id, name AS speaker FROM said WHERE name <> 'system'),
+seen AS (
+  SELECT said.*, speaker, name = speaker AS own,
+         '<|im_start|>' || CASE WHEN name = speaker THEN 'assistant' WHEN name = 'system' THEN 'system'
+                           ELSE 'user name=' || name END || chr(10) AS head
+  FROM said JOIN people ON said.conv_id IS NOT DISTINCT FROM people.conv_id),
+placed AS (
+  SELECT *, head || body || '<|im_end|>' || chr(10) AS piece,
+         sum(length(head) + length(body) + 11) OVER w - length(body) - 11 AS a FROM seen
+  WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, name, body ROWS UNBOUNDED PRECEDING)),
+blocks AS (
+  SELECT conv_id, speaker, block, count(*) AS n_turns,
+         string_agg(piece, '' ORDER BY turn NULLS FIRST, name, body) AS text,
+         min(a - length(head)) AS start,
+         coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(body) + 10 AS BIGINT), ',' ORDER BY a) FILTER (own), '') AS mask
+  FROM placed GROUP BY 1, 2, 3)
+SELECT conv_id, speaker, block, n_turns, text, CAST(start AS BIGINT) AS start, mask FROM blocks""",
+)
+def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation from the perspective of each participant."""
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"], s["stop"]))
+    return perspectives(documents(spark, folder, "conversations")).withColumn("mask", F.array_join(spans, ","))
