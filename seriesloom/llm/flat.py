@@ -137,3 +137,41 @@ def shingles(
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """An Arrow list column from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``keys`` (integers), cut where a key changes, with the first row of every group.
+
+    Each table holds complete groups, so memory is that of a batch or of the largest group.
+    """
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            value = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= value[1:] != value[:-1]
+            if rest:
+                new[0] |= value[0] != rest[-1].column(k)[-1].as_py()
+        at = np.flatnonzero(new)
+        if len(at):
+            if at[-1]:
+                rest.append(batch.slice(0, at[-1]))
+            if rest:
+                yield _grouped(rest, keys)
+            rest = [batch.slice(at[-1])]
+        else:
+            rest.append(batch)
+    if rest:
+        yield _grouped(rest, keys)
+
+
+def _grouped(batches: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        value = table.column(k).to_numpy()
+        new[1:] |= value[1:] != value[:-1]
+    return table, np.append(np.flatnonzero(new), table.num_rows)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.chat import perspectives
 from seriesloom.llm.exact_dedup import exact_groups
 from seriesloom.llm.line_dedup import drop_common_lines
+from seriesloom.llm.near_dedup import near_groups
 from seriesloom.llm.session import documents
 from seriesloom.llm.token_counts import token_counts
 
@@ -66,6 +67,12 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents with similarity 0.75 or more; the smallest id stays."""
+    return near_groups(documents(spark, folder)).drop("key_a", "key_b")
+
+
 @query(
     "op10_chat_formatting",
     """
