@@ -102,36 +102,46 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, stop, np.searchsorted(start, offsets)
 
 
-def shingles(
-    data: np.ndarray, offsets: np.ndarray, size: int = 5, lower: bool = True
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct word shingles of every row, ascending, and n + 1 offsets into them.
-
-    A row with fewer words has one shingle, its whole sequence; a row without words has none.
-    """
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for every word of every row, and each row's first word (n + 1 entries)."""
     if lower:
         data = LOWER[data]
     start, stop, first = words(data, offsets)
+    return SpanHash(data)(start, stop), first
+
+
+def grams(word: np.ndarray, first: np.ndarray, size: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and first word of every run of ``size`` words within a row.
+
+    whole: a row with fewer words has one run, all its words; otherwise it has none.
+    """
     count = np.diff(first)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(count) + 1, np.int64)
-    word = SpanHash(data)(start, stop)
     row = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(start)) - first[row]
-    begins = np.flatnonzero((place == 0) | (place + size <= count[row]))
+    place = np.arange(len(word)) - first[row]
+    begins = np.flatnonzero((place + size <= count[row]) | ((place == 0) & whole))
     mine = np.minimum(size, count[row[begins]])
     value = np.zeros(len(begins), np.uint64)
     for k in range(size):
-        has = k < mine
-        step = mix(value * BASE + word[np.minimum(begins + k, len(word) - 1)] + np.uint64(k + 1))
-        value = np.where(has, step, value)
-    owner = row[begins]
+        step = mix(value * BASE + word[np.minimum(begins + k, max(0, len(word) - 1))] + np.uint64(k + 1)) if len(begins) else value
+        value = np.where(k < mine, step, value)
+    return value, row[begins], begins
+
+
+def shingles(
+    data: np.ndarray, offsets: np.ndarray, size: int = 5, lower: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct word shingles of every row, ascending, and n + 1 offsets into them.
+
+    A row with fewer words has one shingle, its whole sequence; a row without words has none.
+    """
+    word, first = word_hashes(data, offsets, lower)
+    value, owner, _ = grams(word, first, size)
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     owner, value = owner[keep], value[keep]
-    return value, np.searchsorted(owner, np.arange(len(count) + 1))
+    return value, np.searchsorted(owner, np.arange(len(first)))
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm.chat import perspectives
+from seriesloom.llm.decontaminate import leaks
 from seriesloom.llm.exact_dedup import exact_groups
 from seriesloom.llm.line_dedup import drop_common_lines
 from seriesloom.llm.near_dedup import near_groups
+from seriesloom.llm.quality import quality_scores
 from seriesloom.llm.session import documents
 from seriesloom.llm.token_counts import token_counts
 
@@ -47,6 +49,12 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder))
 
 
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the benchmark items they give away."""
+    return leaks(documents(spark, folder), documents(spark, folder, "benchmark")).drop("key_a", "key_b")
+
+
 @query(
     "op5_line_dedup",
     """
@@ -73,6 +81,12 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(documents(spark, folder)).drop("key_a", "key_b")
 
 
+@query("op7_quality")
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_scores(documents(spark, folder), documents(spark, folder, "labels")).drop("key_a", "key_b")
+
+
 @query(
     "op10_chat_formatting",
     """
