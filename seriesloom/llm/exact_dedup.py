@@ -73,7 +73,7 @@ def _chunks(column: pa.Array, digest_bytes: int, sizes: dict) -> Iterator[tuple[
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 16, sizes: dict | None = None
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+    """One row per row of ``docs``: id, row key, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Of equal texts the row with the largest id stays. A null text equals an empty one. Rows that repeat
     both id and text are ``kept`` together; ids that are null come after all others, and if a group
@@ -129,6 +129,8 @@ def exact_groups(
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias(id_col),
+        "key_a",
+        "key_b",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"),

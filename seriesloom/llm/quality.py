@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm.flat import SpanHash, flat, pieces, words
-from seriesloom.llm.session import body, prepare, row_key
+from seriesloom.llm.session import body, prepare
 
 BITS = 17
 PLACES = 1 << BITS
@@ -212,24 +212,25 @@ def fit(
     return model
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, row key and ``score`` of every row; a text without n-grams (null, empty) has the model's bias."""
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # its size is that of the feature places
-    kind = docs.schema[id_col].dataType.simpleString()
+def score_column(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
+    """The score of a text column, computed in Arrow batches; other columns stay where they are.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column(3))
-            out = [
-                shared.value.score(p)
-                for i, j in pieces(offsets)
-                for p in features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64())], ["id", "key_a", "key_b", "score"])
+    A text without n-grams (null, empty) has the score of the model's bias. The model is broadcast; its size is that of
+    the feature places.
+    """
+    shared = prepare(spark).sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        data, offsets = flat(column)
+        out = [
+            shared.value.score(p)
+            for i, j in pieces(offsets)
+            for p in features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        ]
+        return pa.array(out, pa.float64())
 
-    keyed = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), body(text_col).alias("body"))
-    return keyed.mapInArrow(score, f"id {kind}, key_a long, key_b long, score double").withColumnRenamed("id", id_col)
+    return score(body(text_col))
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -242,16 +243,14 @@ def quality_scores(
 ) -> DataFrame:
     """Learn from the labels outside fold ``held`` and score every row of ``docs``.
 
-    Columns: id, row key, ``held_out``, ``score`` (0 to 1, higher: more likely good) and ``predicted`` (1 from ``threshold``
+    Columns: id, ``held_out``, ``score`` (0 to 1, higher: more likely good) and ``predicted`` (1 from ``threshold``
     on). Only texts enter a score. Null and empty texts have the score of a text without n-grams; repeated rows
     come back as often as they came; an empty table gives an empty table; further columns are not read.
     """
     model = fit(docs, labels.where(fold(id_col, folds) != held), id_col, text_col)
-    out = scored(docs, model, id_col, text_col)
+    out = docs.select(id_col, score_column(docs.sparkSession, model, text_col).alias("score"))
     return out.select(
         id_col,
-        "key_a",
-        "key_b",
         (fold(id_col, folds) == held).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),

@@ -14,6 +14,7 @@ from seriesloom.llm.exact_dedup import exact_groups
 from seriesloom.llm.line_dedup import drop_common_lines
 from seriesloom.llm.near_dedup import near_groups
 from seriesloom.llm.quality import quality_scores
+from seriesloom.llm.sentencepiece_codec import encoded_digests
 from seriesloom.llm.session import documents
 from seriesloom.llm.token_counts import token_counts
 
@@ -46,7 +47,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
 )
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal documents; the largest id stays."""
-    return exact_groups(documents(spark, folder))
+    return exact_groups(documents(spark, folder)).drop("key_a", "key_b")
 
 
 @query("op3_decontamination")
@@ -55,6 +56,13 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(documents(spark, folder), documents(spark, folder, "benchmark")).drop("key_a", "key_b")
 
 
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    coded = encoded_digests(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.drop("key_a", "key_b")
+
+
 @query(
     "op5_line_dedup",
     """
@@ -84,7 +92,7 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_quality")
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
-    return quality_scores(documents(spark, folder), documents(spark, folder, "labels")).drop("key_a", "key_b")
+    return quality_scores(documents(spark, folder), documents(spark, folder, "labels"))
 
 
 @query(

@@ -52,3 +52,14 @@ def row_key(*columns: str) -> list[Column]:
 
 def documents(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+
+
+def chosen(docs: DataFrame, decisions: DataFrame, how: str = "left_semi", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose row key is among ``decisions`` (or, with ``left_anti``, is not), all columns as they were.
+
+    Of rows that repeat both id and text one is left.
+    """
+    a, b = row_key(id_col, text_col)
+    keyed = docs.withColumns({"_row_a": a, "_row_b": b})
+    keys = decisions.select(F.col("key_a").alias("_row_a"), F.col("key_b").alias("_row_b"))
+    return keyed.join(keys, ["_row_a", "_row_b"], how).dropDuplicates(["_row_a", "_row_b"]).drop("_row_a", "_row_b")
