@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from seriesloom.llm.chat import perspectives
 from seriesloom.llm.decontaminate import leaks
 from seriesloom.llm.exact_dedup import exact_groups
+from seriesloom.llm.language import language_of
 from seriesloom.llm.line_dedup import drop_common_lines
 from seriesloom.llm.near_dedup import near_groups
-from seriesloom.llm.quality import quality_scores
+from seriesloom.llm.quality import fold, quality_scores
 from seriesloom.llm.sentencepiece_codec import encoded_digests
 from seriesloom.llm.session import documents
 from seriesloom.llm.token_counts import token_counts
@@ -95,6 +96,15 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(documents(spark, folder), documents(spark, folder, "labels"))
 
 
+@query("op9_language")
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = documents(spark, folder)
+    held = fold("doc_id", 3) == 1
+    named = language_of(docs, docs.where(~held))
+    return named.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query(
     "op10_chat_formatting",
     """

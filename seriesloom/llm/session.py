@@ -12,8 +12,9 @@ from seriesloom.session import configure
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """The library's settings, and Arrow batches bounded in bytes (long texts)."""
+    """The library's settings, Arrow batches bounded in bytes (long texts), and no shuffle files kept behind a query."""
     configure(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
