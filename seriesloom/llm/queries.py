@@ -15,6 +15,7 @@ from seriesloom.llm.language import language_of
 from seriesloom.llm.line_dedup import drop_common_lines
 from seriesloom.llm.near_dedup import near_groups
 from seriesloom.llm.quality import fold, quality_scores
+from seriesloom.llm.repeats import without_repeats
 from seriesloom.llm.sentencepiece_codec import encoded_digests
 from seriesloom.llm.session import documents
 from seriesloom.llm.token_counts import token_counts
@@ -96,6 +97,15 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(documents(spark, folder), documents(spark, folder, "labels"))
 
 
+@query("op8_repeats")
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes under repeated strings of 400 bytes removed."""
+    kept = without_repeats(documents(spark, folder))
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op9_language")
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""
