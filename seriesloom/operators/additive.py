@@ -18,7 +18,7 @@ from seriesloom.functions.lineage import checkpoint
 from seriesloom.functions.order import PIECE_ROWS, pieces, spread
 from seriesloom.operators.ets import Z80, Z95, failures, irregular_series
 from seriesloom.operators.grid import future_grid, steps_of
-from seriesloom.sources.panel import compact, is_bounded
+from seriesloom.sources.panel import compact, drop_missing, is_bounded
 
 # The published defaults of the model.
 CHANGEPOINTS = 25
@@ -260,12 +260,16 @@ def additive(
     rows = compact(spread(panel, "series_id") if is_bounded(panel) else panel)
     spec = checkpoint(additive_spec(rows, yearly, weekly, daily, n_changepoints))
     fit = checkpoint(fit_additive(rows, spec, changepoint_scale, is_bounded(panel)))
-    grid = future_grid(panel, horizon, steps)
+    # Future times continue after the last usable row, not after trailing missing ones.
+    grid = future_grid(drop_missing(panel), horizon, steps)
     meta = F.create_map(
         F.lit("changepoint_prior_scale"), F.lit(str(changepoint_scale)),
         F.lit("yearly_seasonality"), F.lit(str(yearly).lower()),
         F.lit("weekly_seasonality"), F.lit(str(weekly).lower()),
         F.lit("daily_seasonality"), F.lit(str(daily).lower()),
     )
-    bad = fit.where(F.col("error").isNotNull()).select("series_id", "error").unionByName(irregular_series(steps))
+    # A regular series with too few usable rows, or all at one time, has no spec and so no fit.
+    few = F.lit("ValueError: the additive model needs at least two usable rows at different times.")
+    unfit = steps.where("regular").join(spec, "series_id", "left_anti").select("series_id", few.alias("error"))
+    bad = fit.where(F.col("error").isNotNull()).select("series_id", "error").unionByName(irregular_series(steps)).unionByName(unfit)
     return predict_additive(fit, spec, grid, meta).unionByName(failures(bad, "prophet"))

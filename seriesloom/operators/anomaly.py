@@ -116,17 +116,6 @@ def _steps_kernel(trees: int, seed: int):
     return build
 
 
-def _scores_kernel(trees: int, seed: int):
-    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf["y"].to_numpy(float)
-        at, step = forest_of(key[0], y, trees, seed)
-        return pd.DataFrame(
-            {"series_id": key[0], "pos": pdf["pos"], "value": y, "score": step[np.searchsorted(at, y, side="left")]}
-        )
-
-    return score
-
-
 def forest_steps(panel: DataFrame, trees: int = TREES, seed: int = 0) -> DataFrame:
     """The forest of each series as one step function of the value: ``(series_id, lo, score)``.
 
@@ -157,22 +146,21 @@ def _lookup(key: tuple, rows: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame
 def forest_scores(panel: DataFrame, trees: int = TREES, seed: int = 0) -> DataFrame:
     """Score every row.
 
-    A series that fits in a task is one kernel call. A longer one is cut into pieces; the
-    steps of its forest are handed to each piece and looked up there.
+    Every forest is built by :func:`forest_steps`, whatever the panel's form, so a series scores the same
+    beside any neighbour. The steps are handed to the series, or to each piece of it, and looked up there.
     """
     schema = "series_id string, pos bigint, value double, score double"
-    if is_bounded(panel):
-        return (
-            spread(drop_missing(positioned(panel)).select("series_id", "pos", "y"), "series_id")
-            .groupBy("series_id")
-            .applyInPandas(_scores_kernel(trees, seed), schema)
-        )
-    rows = pieces(drop_missing(positioned(panel))).select("series_id", "piece", "pos", "y")
-    used = rows.groupBy("series_id").agg(F.collect_set("piece").alias("_in"))
-    steps = forest_steps(panel, trees, seed).join(used, "series_id").select(
-        F.col("series_id").alias("step_id"), F.explode("_in").alias("step_piece"), "lo", F.col("score").alias("step")
+    rows = drop_missing(positioned(panel))
+    steps = forest_steps(panel, trees, seed).select(
+        F.col("series_id").alias("step_id"), "lo", F.col("score").alias("step")
     )
-    return rows.groupBy("series_id", "piece").cogroup(steps.groupBy("step_id", "step_piece")).applyInPandas(
+    if is_bounded(panel):
+        mine = spread(rows.select("series_id", "pos", "y"), "series_id").groupBy("series_id")
+        return mine.cogroup(steps.groupBy("step_id")).applyInPandas(_lookup, schema)
+    cut = pieces(rows).select("series_id", "piece", "pos", "y")
+    used = cut.select("series_id", F.col("piece").alias("step_piece")).distinct()
+    handed = steps.join(used, F.col("step_id") == F.col("series_id")).drop("series_id")
+    return cut.groupBy("series_id", "piece").cogroup(handed.groupBy("step_id", "step_piece")).applyInPandas(
         _lookup, schema
     )
 
@@ -285,22 +273,31 @@ def normality(panel: DataFrame, max_rows: int = NORMALITY_ROWS, seed: int = 0) -
 # -- choice and roll-up ------------------------------------------------------------
 
 
-def anomaly_methods(panel: DataFrame, method: str = "auto") -> DataFrame:
-    """``(series_id, method)``; any name but ``auto`` and ``zscore`` means isolation forest."""
+def anomaly_methods(panel: DataFrame, method: str = "auto", normality_rows: int = NORMALITY_ROWS) -> DataFrame:
+    """``(series_id, method, rows_tested)``; any name but ``auto`` and ``zscore`` means isolation forest.
+
+    ``auto`` rests on a normality test of at most ``normality_rows`` rows per series, drawn by hash;
+    ``rows_tested`` says how many it had (NULL without a test).
+    """
     if method == "auto":
-        return normality(panel).select("series_id", "method")
+        return normality(panel, normality_rows).select("series_id", "method", "rows_tested")
     fixed = "zscore" if method == "zscore" else "isolation_forest"
-    return panel.select("series_id").distinct().withColumn("method", F.lit(fixed))
+    return (
+        panel.select("series_id").distinct()
+        .withColumn("method", F.lit(fixed)).withColumn("rows_tested", F.lit(None).cast("bigint"))
+    )
 
 
-def detect_anomalies(panel: DataFrame, method: str = "auto", methods: DataFrame | None = None) -> DataFrame:
+def detect_anomalies(
+    panel: DataFrame, method: str = "auto", methods: DataFrame | None = None, normality_rows: int = NORMALITY_ROWS
+) -> DataFrame:
     """Flagged rows of every series, ``(series_id, pos, value, score, method)``."""
     rows = positioned(panel)
     if methods is None:
         if method != "auto":
             found = zscore_anomalies(rows) if method == "zscore" else isolation_forest_anomalies(rows)
             return found.withColumn("method", F.lit("zscore" if method == "zscore" else "isolation_forest"))
-        methods = anomaly_methods(rows)
+        methods = anomaly_methods(rows, normality_rows=normality_rows)
     parts: Iterator[DataFrame] = (
         find(rows.join(methods.where(F.col("method") == name).select("series_id"), "series_id")).withColumn(
             "method", F.lit(name)
@@ -312,15 +309,14 @@ def detect_anomalies(panel: DataFrame, method: str = "auto", methods: DataFrame
 
 
 def rollup_anomalies(found: DataFrame) -> DataFrame:
-    """Count, indices and details in index order, one row per piece of a series.
+    """Count, indices and details in index order, one row per series.
 
-    A series of up to 65,536 positions has one row; longer ones have one per piece, so no
-    array grows without bound.
+    The arrays are as long as the series has anomalies. For totals only there is :func:`anomaly_counts`; for details
+    of any number, ``found`` itself is the long table, one row per anomaly.
     """
     detail = F.struct("pos", "value", "score")
     return (
-        pieces(found)
-        .groupBy("series_id", "piece")
+        found.groupBy("series_id")
         .agg(F.count(F.lit(1)).alias("anomaly_count"), F.sort_array(F.collect_list(detail)).alias("details"))
         .withColumn("anomaly_indices", F.col("details.pos"))
     )

@@ -98,7 +98,14 @@ def conformal(base: Forecaster, panel: DataFrame, horizon: int | DataFrame) -> D
     errors = made.where(F.col("error").isNotNull()).groupBy("series_id").agg(F.min("error").alias("_failed"))
     full = made.where(F.col("_cut") == "f").drop("_cut").join(errors, "series_id", "left")
     bound = lambda sign, q: F.when(F.col("_failed").isNull(), F.col("yhat") + sign * F.col(q))
-    ok = full.where(F.col("_failed").isNull()).join(widths, "series_id", "left")
+    # Without a single calibration row every rank is beyond the last score: infinite, like any missing rank.
+    ok = full.where(F.col("_failed").isNull()).join(widths, "series_id", "left").withColumns(
+        {
+            "q80": F.coalesce("q80", F.lit(_INFINITY)),
+            "q95": F.coalesce("q95", F.lit(_INFINITY)),
+            "n_calibration": F.coalesce("n_calibration", F.lit(0)),
+        }
+    )
     good = ok.select(
         "series_id",
         F.concat(F.lit("conformal("), F.col("model_name"), F.lit(")")).alias("model_name"),

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.numeric import exact_round, ratio, sample_kurtosis, sample_skew
 from seriesloom.functions.order import exact_quantile
-from seriesloom.sources.panel import as_timestamp, column_types, is_bounded, is_numeric, to_panel, with_pos
+from seriesloom.sources.panel import as_timestamp, column_types, is_bounded, is_numeric, series_key, to_panel, with_pos
 
 # Inclusive bands of the median step in seconds, the largest tolerated
 # MAD / median, and the share of rows that must parse in a time column.
@@ -215,7 +215,7 @@ def profile_table(df: DataFrame, by: Sequence[str], ts: str | None = None) -> Da
         return stats.withColumn("frequency", F.lit("irregular")).withColumn("duplicate_timestamps", F.lit(0))
     keyed = df.withColumn("_one", F.lit(1.0))
     panel = to_panel(keyed, by, ts, "_one")
-    sid = F.coalesce(F.concat_ws("|", *[F.col(k).cast("string") for k in by]), F.lit("")) if by else F.lit("all")
+    sid = series_key(by)
     stamps = as_timestamp(df, ts)
     repeats = (
         df.groupBy(sid.alias("series_id"), stamps.alias("_ts"))

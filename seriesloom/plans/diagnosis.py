@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.lineage import checkpoint
 from seriesloom.functions.numeric import exact_round
-from seriesloom.operators.anomaly import anomaly_counts, anomaly_methods, detect_anomalies
+from seriesloom.operators.anomaly import NORMALITY_ROWS, anomaly_counts, anomaly_methods, detect_anomalies
 from seriesloom.operators.profile import profile as measure
 from seriesloom.operators.seasonality import despike, detect_seasonality
 from seriesloom.operators.stationarity import check_stationarity
 from seriesloom.sources.panel import with_pos
 
 
-def full_diagnosis(panel: DataFrame, target: str = "y", method: str = "auto") -> DataFrame:
+def full_diagnosis(
+    panel: DataFrame, target: str = "y", method: str = "auto", normality_rows: int = NORMALITY_ROWS
+) -> DataFrame:
     """One row per series: profile, stationarity, seasonality and anomalies as structs.
 
     Stationarity is tested on the raw values, seasonality on the de-spiked ones. The
@@ -22,7 +24,7 @@ def full_diagnosis(panel: DataFrame, target: str = "y", method: str = "auto") ->
     partitioned by series already.
     """
     rows = checkpoint(with_pos(panel))
-    methods = checkpoint(anomaly_methods(rows, method))
+    methods = checkpoint(anomaly_methods(rows, method, normality_rows))
     anomalies = checkpoint(detect_anomalies(rows, methods=methods))
     measured = checkpoint(measure(rows))
     frequency = measured.select("series_id", "frequency")
@@ -55,7 +57,9 @@ def full_diagnosis(panel: DataFrame, target: str = "y", method: str = "auto") ->
     counted = methods.join(anomaly_counts(anomalies), "series_id", "left").select(
         "series_id",
         F.struct(
-            F.coalesce("anomaly_count", F.lit(0)).alias("anomaly_count"), F.col("method").alias("method_used")
+            F.coalesce("anomaly_count", F.lit(0)).alias("anomaly_count"),
+            F.col("method").alias("method_used"),
+            "rows_tested",
         ).alias("anomalies"),
     )
     return (

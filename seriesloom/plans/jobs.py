@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.lineage import checkpoint
+from seriesloom.operators.ets import failures
 from seriesloom.operators.registry import FLOORS, MODELS, build, floor_of, usable_counts
 from seriesloom.plans.diagnosis import digest_column, full_diagnosis
 
+# What a forecast row holds, also where a batch has none.
+FORECAST = (
+    "job_id string, series_id string, model_name string, step_no int, ts timestamp, yhat double, lo80 double, hi80 double, "
+    "lo95 double, hi95 double, metadata map<string,string>"
+)
 REQUEST = "job_id string, series_id string, model_name string, horizon int, conformal boolean, created_at timestamp"
 
 # Request defaults and limits.
@@ -25,16 +31,26 @@ class ForecastBatch(NamedTuple):
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
-    """Fill in model, horizon and conformal flag where the request leaves them open."""
+    """Fill in model, horizon and conformal flag where the request leaves them open.
+
+    A given horizon or flag that does not parse stays NULL, and the request is refused for it.
+    """
     have = requests.columns
-    col = lambda name, kind: F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+
+    def col(name: str, kind: str) -> Column:
+        return F.col(name).cast("string").try_cast(kind) if name in have else F.lit(None).cast(kind)
+
+    def default(name: str, kind: str, value: Column) -> Column:
+        return F.when(F.col(name).isNull(), value).otherwise(col(name, kind)) if name in have else value
+
     return requests.select(
         "job_id",
         "series_id",
         F.coalesce(col("model_name", "string"), F.lit(DEFAULT_MODEL)).alias("model_name"),
-        F.coalesce(col("horizon", "int"), F.lit(DEFAULT_HORIZON)).alias("horizon"),
-        F.coalesce(col("conformal", "boolean"), F.lit(False)).alias("conformal"),
+        default("horizon", "int", F.lit(DEFAULT_HORIZON)).alias("horizon"),
+        default("conformal", "boolean", F.lit(False)).alias("conformal"),
         F.coalesce(col("created_at", "timestamp"), F.current_timestamp()).alias("created_at"),
+        col("malformed", "string").alias("malformed"),
     )
 
 
@@ -73,8 +89,10 @@ def check_requests(requests: DataFrame, panel: DataFrame) -> DataFrame:
         "created_at",
         label.alias("label"),
         F.coalesce("usable", F.lit(0)).alias("usable"),
-        F.when(~F.col("model_name").isin(*MODELS), unknown)
-        .when(~F.col("horizon").between(1, MAX_HORIZON), horizon)
+        F.when(F.col("malformed").isNotNull(), F.lit("ValueError: the request is not a JSON object."))
+        .when(~F.col("model_name").isin(*MODELS), unknown)
+        .when(~F.coalesce(F.col("horizon").between(1, MAX_HORIZON), F.lit(False)), horizon)
+        .when(F.col("conformal").isNull(), F.lit("ValueError: conformal must be true or false."))
         .when(F.col("usable").isNull(), missing)
         .when(F.col("usable") < floor, short)
         .alias("error"),
@@ -97,12 +115,18 @@ def run_jobs(requests: DataFrame, panel: DataFrame) -> ForecastBatch:
     for name, wrapped in sorted((r["model_name"], r["conformal"]) for r in variants):
         mine = accepted.where((F.col("model_name") == name) & (F.col("conformal") == wrapped))
         need = mine.groupBy("series_id").agg(F.max("horizon").alias("horizon"))
-        part = build(name, wrapped)(used.join(need.select("series_id"), "series_id", "left_semi"), need)
+        try:
+            # Written here, so that a model whose plan fails to run fails alone as well.
+            part = checkpoint(build(name, wrapped)(used.join(need.select("series_id"), "series_id", "left_semi"), need))
+        except Exception as problem:  # whatever a plugged-in model raises is its requests' outcome
+            label = f"conformal({name})" if wrapped else name
+            message = f"{type(problem).__name__}: {str(problem).splitlines()[0][:500] if str(problem) else ''}"
+            part = failures(need.select("series_id", F.lit(message).alias("error")), label)
         made = part if made is None else made.unionByName(part)
     if made is None:
         jobs = checked.select(*_JOB, F.lit("failed").alias("status"), "error", F.current_timestamp().alias("finished_at"))
-        return ForecastBatch(jobs, checked.where(F.lit(False)).select("job_id", "series_id"))
-    made = checkpoint(made.withColumnRenamed("model_name", "label").withColumnRenamed("error", "fit_error"))
+        return ForecastBatch(jobs, checked.sparkSession.createDataFrame([], FORECAST))
+    made = made.withColumnRenamed("model_name", "label").withColumnRenamed("error", "fit_error")
     outcome = made.groupBy("series_id", "label").agg(
         F.min("fit_error").alias("fit_error"), F.count("step_no").alias("_steps")
     )
@@ -122,8 +146,8 @@ def run_jobs(requests: DataFrame, panel: DataFrame) -> ForecastBatch:
         accepted.select("job_id", "series_id", "label", "horizon")
         .join(made.where(F.col("fit_error").isNull() & F.col("step_no").isNotNull()), ["series_id", "label"])
         .where(F.col("step_no") <= F.col("horizon"))
-        .drop("horizon", "fit_error")
         .withColumnRenamed("label", "model_name")
+        .select(*[c.split(" ")[0] for c in FORECAST.split(", ")])
     )
     return ForecastBatch(jobs, forecasts)
 

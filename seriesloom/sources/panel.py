@@ -71,7 +71,10 @@ def column_types(df: DataFrame, time_column: str | None = None) -> tuple[list[st
 
 
 def pick_target(df: DataFrame, name: str | None = None, time_column: str | None = None) -> str:
-    """The named column, else the first numeric one; raises where there is none."""
+    """The named column, else the first numeric one; raises where there is none.
+
+    The wording of both errors is a fixed value.
+    """
     numeric, _ = column_types(df, time_column)
     if not numeric:
         raise ValueError("DataFrame has no numeric columns — nothing to diagnose.")
@@ -93,6 +96,23 @@ def as_timestamp(df: DataFrame, column: str, formats: Sequence[str] = ()) -> Col
     return F.coalesce(*tries)
 
 
+def series_key(keys: Sequence[str]) -> Column:
+    """One text per combination of key values, different for different combinations.
+
+    A single key is its own text. Several are joined by ``|``; a ``|`` or backslash inside one is written
+    with a backslash before it. NULL is ``\\N``, and a text that looks like it gets one more backslash.
+    """
+    if not keys:
+        return F.lit("all")
+    texts = [F.col(k).cast("string") for k in keys]
+    if len(texts) == 1:
+        (x,) = texts
+        escaped = [F.when(x.rlike(r"^\\+N$"), F.concat(F.lit("\\"), x)).otherwise(x)]
+    else:
+        escaped = [F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for x in texts]
+    return F.concat_ws("|", *[F.coalesce(x, F.lit("\\N")) for x in escaped])
+
+
 def to_panel(
     df: DataFrame,
     keys: Sequence[str],
@@ -109,10 +129,7 @@ def to_panel(
     With ``grain`` the rows are rolled up first, so ``(series_id, ts)`` is unique. Days and
     coarser need no blocks; for shorter grains and raw rows the longest series is measured.
     """
-    if keys:
-        sid = F.coalesce(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), F.lit(""))
-    else:
-        sid = F.lit("all")
+    sid = series_key(keys)
     if isinstance(df.schema[y].dataType, T.StringType):
         value = F.col(y).try_cast("double")
     else:

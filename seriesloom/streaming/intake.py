@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,11 +10,11 @@ from seriesloom.plans.jobs import REQUEST, run_jobs
 
 
 def finished_jobs(spark: SparkSession, out: str) -> DataFrame | None:
-    """Job rows written so far, or None before the first batch."""
-    try:
-        return spark.read.parquet(f"{out}/jobs")
-    except AnalysisException:
+    """Job rows written so far, or None before the first batch; any other problem is raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/jobs")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
+    return spark.read.parquet(f"{out}/jobs")
 
 
 def stream_jobs(
@@ -27,13 +26,22 @@ def stream_jobs(
     out. Each batch writes its own folder and overwrites it when replayed, so a restart
     after a lost driver neither repeats nor loses a job.
     """
-    requests = (
-        spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", max_files).json(request_dir)
+    # Values are read as text, so that one that does not parse is refused instead of taken for missing.
+    fields = [c.split(" ")[0] for c in REQUEST.split(", ")]
+    schema = ", ".join(f"{c} string" for c in (*fields, "malformed"))
+    lines = (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", max_files)
+        .option("columnNameOfCorruptRecord", "malformed")
+        .json(request_dir)
     )
+    # A line without a job id is named after its contents: it fails alone and runs once.
+    name = F.concat(F.lit("unnamed-"), F.substring(F.sha2(F.to_json(F.struct("*")), 256), 1, 16))
+    requests = lines.withColumn("job_id", F.coalesce("job_id", name))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        fields = [c for c in batch.columns if c != "job_id"]
-        first = F.min_by(F.struct(*fields), F.struct("created_at", "series_id", "model_name", "horizon", "conformal"))
+        rest = [c for c in batch.columns if c != "job_id"]
+        first = F.min_by(F.struct(*rest), F.struct("created_at", "series_id", "model_name", "horizon", "conformal"))
         new = batch.groupBy("job_id").agg(first.alias("r")).select("job_id", "r.*")
         done = finished_jobs(spark, out)
         if done is not None:
