@@ -12,6 +12,7 @@ from seriesloom.sources.panel import load, to_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_MADE: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None):
             return fn(Tables(configure(spark), folder))
 
         run.__name__, run.__doc__ = name, fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name], _MADE[name] = run, fn
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -39,14 +40,17 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return load(self.spark, f"{self.folder}/{name}.parquet")
 
+    def panel(self, name: str, key: str, ts: str, y: str, grain: str | None) -> DataFrame:
+        return to_panel(self.table(name), [key], ts, y, grain)
+
     def events(self, grain: str | None = None) -> DataFrame:
-        return to_panel(self.table("events"), ["event_type"], "ts", "value", grain)
+        return self.panel("events", "event_type", "ts", "value", grain)
 
     def orders(self, grain: str | None = "day") -> DataFrame:
-        return to_panel(self.table("orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", grain)
+        return self.panel("orders", "o_orderpriority", "o_orderdate", "o_totalprice", grain)
 
     def lineitem(self, grain: str | None = "month") -> DataFrame:
-        return to_panel(self.table("lineitem"), ["l_returnflag"], "l_shipdate", "l_extendedprice", grain)
+        return self.panel("lineitem", "l_returnflag", "l_shipdate", "l_extendedprice", grain)
 
     def gappy(self) -> DataFrame:
         """Daily orders with the highest averages taken as missing."""
@@ -54,6 +58,28 @@ class Tables:
         return self.orders().withColumn("y", F.when(~high, F.col("y")))
 
 
+class BlockTables(Tables):
+    """The same panels in the form that long series have: blocks of some 200 rows."""
+
+    def panel(self, name: str, key: str, ts: str, y: str, grain: str | None) -> DataFrame:
+        return to_panel(self.table(name), [key], ts, y, grain, series_rows=20, block_rows=200)
+
+
+def in_blocks(*names: str) -> None:
+    """Register ``<name>_blocks``: the query on block panels, with the SQL it has anyway."""
+    for name in names:
+        fn = _MADE[name]
+
+        def run(spark: SparkSession, folder: str, fn=fn) -> DataFrame:
+            return fn(BlockTables(configure(spark), folder))
+
+        twin = f"{name}_blocks"
+        run.__name__, run.__doc__ = twin, fn.__doc__
+        QUERIES[twin] = run
+        if name in ORACLES:
+            ORACLES[twin] = ORACLES[name]
+
+
 def r(c: Column | str, digits: int = 6) -> Column:
     """Rounded, without negative zero."""
     c = F.col(c) if isinstance(c, str) else c

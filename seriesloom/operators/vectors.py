@@ -14,13 +14,16 @@ from pyspark.sql import types as T
 from seriesloom.functions.lineage import checkpoint
 from seriesloom.plans.diagnosis import digest, full_diagnosis
 
-# The words counted by the default embedder, and the limits of k.
-VOCABULARY = ("weekly", "monthly", "anomalies", "stationary", "missing")
+# Words of the digest that the default embedder counts.
+VOCABULARY = ("daily", "non-stationary", "seasonality", "flagged", "skipped")
+# The limits of k.
 DEFAULT_K, MAX_K = 5, 50
 
 # Queries sent to every task; more than that are compared in blocks.
 MAX_QUERIES = 4_096
 _VECTOR_BLOCK = 200_000
+# Bytes of one block of vectors, and scores computed at once.
+_BLOCK_BYTES, _SCORES = 64_000_000, 4_000_000
 
 
 class Embedder(Protocol):
@@ -108,17 +111,37 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def _top(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    # Equal vectors must tie exactly wherever they sit in a batch, hence the rounding.
-    scores = np.round(queries @ vectors.T, 12)
-    best = [_best(row, ids, k) for row in scores]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(query_ids, [len(b) for b in best]),
-            "id": ids[np.concatenate(best)] if best else ids[:0],
-            "score": np.concatenate([row[b] for row, b in zip(scores, best)]) if best else np.zeros(0),
-        }
-    )
+class _Running:
+    """The k best of every query over all vectors seen so far; memory is k rows per query and one chunk of scores."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.ids: list = [None] * len(query_ids)
+        self.scores: list = [np.zeros(0)] * len(query_ids)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, _SCORES // max(1, len(ids)))
+        for i in range(0, len(self.query_ids), step):
+            # Equal vectors must tie exactly wherever they sit in a batch, hence the rounding.
+            scores = np.round(self.queries[i : i + step] @ vectors.T, 12)
+            for q, row in enumerate(scores, i):
+                best = _best(row, ids, self.k)
+                mine, value = ids[best], row[best]
+                if self.ids[q] is not None:
+                    mine, value = np.concatenate([self.ids[q], mine]), np.concatenate([self.scores[q], value])
+                    best = _best(value, mine, self.k)
+                    mine, value = mine[best], value[best]
+                self.ids[q], self.scores[q] = mine, value
+
+    def rows(self) -> pd.DataFrame:
+        have = [q for q, x in enumerate(self.ids) if x is not None]
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat(self.query_ids[have], [len(self.ids[q]) for q in have]),
+                "id": np.concatenate([self.ids[q] for q in have]) if have else [],
+                "score": np.concatenate([self.scores[q] for q in have]) if have else [],
+            }
+        )
 
 
 def cosine_top_k(
@@ -126,9 +149,9 @@ def cosine_top_k(
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: the k most similar vectors of each query, exactly.
 
-    Every Arrow batch is one matrix product and keeps k rows per query, so the scan emits
-    little and only those rows are shuffled for the final ranking. Up to 4,096 queries are
-    sent to the tasks; more are cut into blocks that meet the vector blocks by key.
+    Every task keeps a running top k over its batches, so the scan emits at most k rows per query and
+    task, and only those are shuffled for the final ranking. Up to 4,096 queries are
+    sent to the tasks; more are written once and cut into blocks that meet the vector blocks by key.
     """
     ids = vectors.select(F.col(id_col).alias("id"), "embedding")
     asked = queries.select(F.col(query_id).alias("query_id"), "embedding")
@@ -144,22 +167,25 @@ def cosine_top_k(
         )
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, matrix = sent.value
+            best = _Running(*sent.value, k)
             for batch in batches:
-                if len(batch) and len(query_ids):
-                    yield _top(batch["id"].to_numpy(), _unit_rows(batch["embedding"]), query_ids, matrix, k)
+                if len(batch) and len(best.query_ids):
+                    best.add(batch["id"].to_numpy(), _unit_rows(batch["embedding"]))
+            if any(x is not None for x in best.ids):
+                yield best.rows()
 
         near = ids.mapInPandas(scan, schema)
     else:
-        near = _blocked(ids, asked, k, schema)
+        size = max(1, min(_VECTOR_BLOCK, _BLOCK_BYTES // (8 * max(1, len(head[0]["embedding"] or ())))))
+        near = _blocked(ids, checkpoint(asked), k, schema, size)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocked(ids: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
+def _blocked(ids: DataFrame, asked: DataFrame, k: int, schema: str, block: int) -> DataFrame:
     """Blocks of vectors meet blocks of queries by an equi-key; a group holds one of each."""
     n, q = ids.count(), asked.count()
-    rows, cols = max(1, -(-n // _VECTOR_BLOCK)), max(1, -(-q // MAX_QUERIES))
+    rows, cols = max(1, -(-n // block)), max(1, -(-q // MAX_QUERIES))
     left = ids.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(rows))).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))
     )
@@ -173,10 +199,9 @@ def _blocked(ids: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame
     def pair(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _top(
-            vectors["id"].to_numpy(), _unit_rows(vectors["embedding"]),
-            queries["query_id"].to_numpy(), _unit_rows(queries["query"]), k,
-        )
+        best = _Running(queries["query_id"].to_numpy(), _unit_rows(queries["query"]), k)
+        best.add(vectors["id"].to_numpy(), _unit_rows(vectors["embedding"]))
+        return best.rows()
 
     return left.groupBy("vb", "qb").cogroup(right.groupBy("vector_block", "query_block")).applyInPandas(pair, schema)
 
