@@ -329,7 +329,7 @@ _CHECKED = f"""SELECT job_id, series_id, model_name, horizon, conformal, usable,
 @query("check_requests", _CHECKED)
 def _(t: Tables):
     panel = _usable(t)
-    return check_requests(requests(t, panel), panel).drop("created_at", "label")
+    return check_requests(requests(t, panel), panel).drop("created_at", "label", "target_column")
 
 
 _JOBS = f"SELECT job_id, series_id, model_name, horizon, conformal, usable, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status, error FROM ({_CHECKED})"
@@ -342,7 +342,7 @@ def _jobs(t: Tables):
 
 @query("run_jobs", _JOBS)
 def _(t: Tables):
-    return _jobs(t).jobs.drop("created_at", "finished_at")
+    return _jobs(t).jobs.drop("created_at", "started_at", "finished_at", "target_column")
 
 
 @query("job_status_counts", f"SELECT status, model_name, count(*) AS jobs FROM ({_JOBS}) GROUP BY 1, 2")
@@ -361,7 +361,7 @@ def _written_jobs(t: Tables):
     checked = check_requests(requests(t, panel), panel).withColumn(
         "status", F.when(F.col("error").isNull(), "done").otherwise("failed")
     )
-    checked.drop("created_at", "label").write.partitionBy("status").parquet(path)
+    checked.drop("created_at", "label", "target_column").write.partitionBy("status").parquet(path)
     return t.spark.read.parquet(path)
 
 
@@ -383,7 +383,9 @@ def _(t: Tables):
     base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4()}"
     requests(t, panel).write.json(f"{base}/requests")
     stream_jobs(t.spark, f"{base}/requests", panel, f"{base}/checkpoint", f"{base}/out").awaitTermination()
-    return finished_jobs(t.spark, f"{base}/out").drop("created_at", "finished_at", "batch")
+    return finished_jobs(t.spark, f"{base}/out").select(
+        "job_id", "series_id", "model_name", "horizon", "conformal", "usable", "status", "error"
+    )
 
 
 @query("run_forecast")
@@ -392,4 +394,4 @@ def _(t: Tables):
     wanted = panel.select("series_id").distinct().select(
         F.col("series_id").alias("job_id"), "series_id", F.lit("ets").alias("model_name"), F.lit(12).alias("horizon")
     )
-    return run_forecast(panel, wanted).jobs.drop("created_at", "finished_at")
+    return run_forecast(panel, wanted).jobs.drop("created_at", "started_at", "finished_at")

@@ -8,6 +8,7 @@ from seriesloom.catalog.registry import EVENTS_RAW, Tables, in_blocks, ntz, orde
 from seriesloom.operators import anomaly as A
 from seriesloom.operators.additive import additive
 from seriesloom.operators.conformal import conformal
+from seriesloom.plans.diagnosis import full_report
 from seriesloom.plans.jobs import run_jobs
 from seriesloom.sources.panel import to_panel
 
@@ -121,3 +122,50 @@ def _(t: Tables):
     """The long table of anomalies, one row each, whatever a series' length."""
     found = A.detect_anomalies(t.events(), "zscore")
     return found.select("series_id", "pos", r("value", 4).alias("value"))
+
+
+@query(
+    "report_columns",
+    """SELECT l_returnflag AS series_id, 'l_quantity' AS "column", count(*) FILTER (l_quantity IS NULL) AS missing_count,
+  round(avg(l_quantity), 4) AS mean, round(max(l_quantity), 4) AS max FROM lineitem GROUP BY 1
+UNION ALL SELECT l_returnflag, 'l_extendedprice', count(*) FILTER (l_extendedprice IS NULL), round(avg(l_extendedprice), 4),
+  round(max(l_extendedprice), 4) FROM lineitem GROUP BY 1
+UNION ALL SELECT l_returnflag, 'l_linestatus', count(*) FILTER (l_linestatus IS NULL), NULL, NULL FROM lineitem GROUP BY 1""",
+)
+def _(t: Tables):
+    """Columns of the full report, per series."""
+    rows = t.table("lineitem").select("l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice", "l_linestatus")
+    found = full_report(rows, ["l_returnflag"], "l_shipdate", "l_quantity", "month").columns
+    return found.select("series_id", "column", "missing_count", r("mean", 4).alias("mean"), r("max", 4).alias("max"))
+
+
+@query(
+    "report_series",
+    """SELECT l_returnflag AS series_id, 'l_quantity' AS target_column, 'l_shipdate' AS datetime_column, count(DISTINCT date_trunc('month', l_shipdate)) AS row_count,
+  'l_quantity,l_extendedprice' AS numeric_columns, 'l_linestatus' AS categorical_columns FROM lineitem GROUP BY 1""",
+)
+def _(t: Tables):
+    """What the full report says about each series' table; the target and the time column are found."""
+    rows = t.table("lineitem").select("l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice", "l_linestatus")
+    found = full_report(rows, ["l_returnflag"], grain="month").series
+    return found.select(
+        "series_id", "target_column", "datetime_column", F.col("profile.row_count").alias("row_count"),
+        F.array_join("numeric_columns", ",").alias("numeric_columns"), F.array_join("categorical_columns", ",").alias("categorical_columns"),
+    )
+
+
+@query(
+    "jobs_by_target",
+    """SELECT l_returnflag || t AS job_id, t AS target_column, CASE WHEN t = 'nothing' THEN 'failed' ELSE 'done' END AS status,
+  CASE WHEN t = 'nothing' THEN 'ValueError: target_column ''nothing'' not found in DataFrame.' END AS error
+FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES ('l_quantity'), ('l_extendedprice'), ('nothing')) AS v(t)""",
+)
+def _(t: Tables):
+    """Requests that name their target column."""
+    rows = t.table("lineitem")
+    panels = {y: to_panel(rows, ["l_returnflag"], "l_shipdate", y, "month") for y in ("l_quantity", "l_extendedprice")}
+    names = F.explode(F.array(*[F.lit(x) for x in (*panels, "nothing")]))
+    requests = rows.select("l_returnflag").distinct().select(F.col("l_returnflag").alias("series_id"), names.alias("target_column")).select(
+        F.concat("series_id", "target_column").alias("job_id"), "series_id", F.lit("ets").alias("model_name"), F.lit(3).alias("horizon"), "target_column"
+    )
+    return run_jobs(requests, panels).jobs.select("job_id", "target_column", "status", "error")

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.lineage import checkpoint
 from seriesloom.functions.numeric import exact_round
 from seriesloom.operators.anomaly import NORMALITY_ROWS, anomaly_counts, anomaly_methods, detect_anomalies
+from seriesloom.operators.profile import column_stats, find_time_column
 from seriesloom.operators.profile import profile as measure
 from seriesloom.operators.seasonality import despike, detect_seasonality
 from seriesloom.operators.stationarity import check_stationarity
-from seriesloom.sources.panel import with_pos
+from seriesloom.sources.panel import column_types, pick_target, series_key, to_panel, with_pos
 
 
 def full_diagnosis(
-    panel: DataFrame, target: str = "y", method: str = "auto", normality_rows: int = NORMALITY_ROWS
+    panel: DataFrame,
+    target: str = "y",
+    method: str = "auto",
+    normality_rows: int = NORMALITY_ROWS,
+    found: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per series: profile, stationarity, seasonality and anomalies as structs.
 
@@ -23,9 +31,12 @@ def full_diagnosis(
     positioned panel feeds every branch, so it is written once; from there each branch is
     partitioned by series already.
     """
-    rows = checkpoint(with_pos(panel))
-    methods = checkpoint(anomaly_methods(rows, method, normality_rows))
-    anomalies = checkpoint(detect_anomalies(rows, methods=methods))
+    if found is None:
+        rows = checkpoint(with_pos(panel))
+        methods = checkpoint(anomaly_methods(rows, method, normality_rows))
+        anomalies = checkpoint(detect_anomalies(rows, methods=methods))
+    else:  # a positioned, written panel with its methods and anomalies
+        rows, (methods, anomalies) = panel, found
     measured = checkpoint(measure(rows))
     frequency = measured.select("series_id", "frequency")
     profile = measured.select(
@@ -138,3 +149,49 @@ def digest_column() -> Column:
 
 def digest(diagnosis: DataFrame) -> DataFrame:
     return diagnosis.select("series_id", digest_column().alias("summary"))
+
+
+class Report(NamedTuple):
+    """The full report on a table: one row per series, per series and column, and per anomaly."""
+
+    series: DataFrame
+    columns: DataFrame
+    anomalies: DataFrame
+
+
+def full_report(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str | None = None,
+    target: str | None = None,
+    grain: str | None = None,
+    method: str = "auto",
+    normality_rows: int = NORMALITY_ROWS,
+) -> Report:
+    """Diagnose a raw table: :func:`full_diagnosis` of the target with what else the table holds.
+
+    ``series`` also names the ``datetime_column`` and lists ``columns``, ``numeric_columns`` and ``categorical_columns``;
+    ``columns`` has missing values and moments of every column per series; ``anomalies`` is the long table of flagged rows
+    ``(series_id, pos, value, score, method)``. Tables instead of arrays, so nothing grows with a series.
+    """
+    rest = df.drop(*keys)
+    ts = ts or find_time_column(rest)
+    if ts is None:
+        raise ValueError("The table has no column that reads as times.")
+    target = pick_target(rest, target, ts)
+    panel = checkpoint(with_pos(to_panel(df, keys, ts, target, grain)))
+    methods = checkpoint(anomaly_methods(panel, method, normality_rows))
+    found = checkpoint(detect_anomalies(panel, methods=methods))
+    numeric, categorical = column_types(rest, ts)
+    names = lambda cols: F.array(*[F.lit(c) for c in cols]).cast("array<string>")
+    series = full_diagnosis(panel, target, method, normality_rows, (methods, found)).withColumns(
+        {
+            "datetime_column": F.lit(ts),
+            "columns": names(rest.columns),
+            "numeric_columns": names(numeric),
+            "categorical_columns": names(categorical),
+        }
+    )
+    keyed = df.withColumn("series_id", series_key(keys)).drop(*keys)
+    columns = column_stats(keyed.drop(ts), ["series_id"])
+    return Report(series, columns, found)

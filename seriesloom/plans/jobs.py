@@ -17,7 +17,7 @@ FORECAST = (
     "job_id string, series_id string, model_name string, step_no int, ts timestamp, yhat double, lo80 double, hi80 double, "
     "lo95 double, hi95 double, metadata map<string,string>"
 )
-REQUEST = "job_id string, series_id string, model_name string, horizon int, conformal boolean, created_at timestamp"
+REQUEST = "job_id string, series_id string, model_name string, horizon int, conformal boolean, created_at timestamp, target_column string"
 
 # Request defaults and limits.
 DEFAULT_MODEL = "prophet"
@@ -50,6 +50,7 @@ def with_defaults(requests: DataFrame) -> DataFrame:
         default("horizon", "int", F.lit(DEFAULT_HORIZON)).alias("horizon"),
         default("conformal", "boolean", F.lit(False)).alias("conformal"),
         F.coalesce(col("created_at", "timestamp"), F.current_timestamp()).alias("created_at"),
+        col("target_column", "string").alias("target_column"),
         col("malformed", "string").alias("malformed"),
     )
 
@@ -87,6 +88,7 @@ def check_requests(requests: DataFrame, panel: DataFrame) -> DataFrame:
         "horizon",
         "conformal",
         "created_at",
+        "target_column",
         label.alias("label"),
         F.coalesce("usable", F.lit(0)).alias("usable"),
         F.when(F.col("malformed").isNotNull(), F.lit("ValueError: the request is not a JSON object."))
@@ -99,13 +101,41 @@ def check_requests(requests: DataFrame, panel: DataFrame) -> DataFrame:
     )
 
 
-def run_jobs(requests: DataFrame, panel: DataFrame) -> ForecastBatch:
+Panels = DataFrame | dict[str, DataFrame]
+
+
+def run_jobs(requests: DataFrame, panel: Panels, target: str = "y") -> ForecastBatch:
     """Run every request; a refused or failing one is a ``failed`` row and stops nothing else.
 
+    ``panel`` is the panel of one target column, named ``target``, or a dict of panels by target column; a request
+    without ``target_column`` gets the first. A target that no panel has is refused.
+    """
+    panels = panel if isinstance(panel, dict) else {target: panel}
+    named = F.col("target_column") if "target_column" in requests.columns else F.lit(None).cast("string")
+    asked = requests.withColumn("target_column", F.coalesce(named, F.lit(next(iter(panels)))))
+    batches = [_run_one(asked.where(F.col("target_column") == name), one) for name, one in panels.items()]
+    # Fixed value: the wording of this refusal.
+    lost = F.concat(F.lit("ValueError: target_column '"), F.col("target_column"), F.lit("' not found in DataFrame."))
+    unknown = (
+        with_defaults(asked.where(~F.col("target_column").isin(*panels)))
+        .withColumn("usable", F.lit(0).cast("bigint"))
+        .withColumn("started_at", F.current_timestamp())
+        .select(*_JOB, F.lit("failed").alias("status"), lost.alias("error"), F.current_timestamp().alias("finished_at"))
+    )
+    jobs, forecasts = unknown, None
+    for batch in batches:
+        jobs = batch.jobs.unionByName(jobs)
+        forecasts = batch.forecasts if forecasts is None else forecasts.unionByName(batch.forecasts)
+    return ForecastBatch(jobs, forecasts)
+
+
+def _run_one(requests: DataFrame, panel: DataFrame) -> ForecastBatch:
+    """The requests on one panel.
+
     Requests that agree on series, model and intervals share one fit at their largest
     horizon. Which model variants occur is read first: a handful of rows.
     """
-    checked = checkpoint(check_requests(requests, panel))
+    checked = checkpoint(check_requests(requests, panel).withColumn("started_at", F.current_timestamp()))
     accepted = checked.where(F.col("error").isNull())
     variants = accepted.select("model_name", "conformal").distinct().collect()
     # Every variant reads the panel several times; only requested series are kept.
@@ -152,16 +182,21 @@ def run_jobs(requests: DataFrame, panel: DataFrame) -> ForecastBatch:
     return ForecastBatch(jobs, forecasts)
 
 
-_JOB = ["job_id", "series_id", "model_name", "horizon", "conformal", "usable", "created_at"]
+_JOB = ["job_id", "series_id", "target_column", "model_name", "horizon", "conformal", "usable", "created_at", "started_at"]
 
 
-def run_forecast(panel: DataFrame, requests: DataFrame) -> ForecastBatch:
-    """:func:`run_jobs` with the diagnosis and digest of each requested series on its job row."""
-    batch = run_jobs(requests, panel)
-    wanted = panel.join(requests.select("series_id").distinct(), "series_id", "left_semi")
-    diagnosis = full_diagnosis(wanted).withColumn("summary", digest_column())
-    jobs = batch.jobs.join(diagnosis, "series_id", "left")
-    return ForecastBatch(jobs, batch.forecasts)
+def run_forecast(panel: Panels, requests: DataFrame, target: str = "y") -> ForecastBatch:
+    """:func:`run_jobs` with the diagnosis and digest of each requested series and target on its job row."""
+    panels = panel if isinstance(panel, dict) else {target: panel}
+    batch = run_jobs(requests, panels)
+    jobs = checkpoint(batch.jobs)  # read once for what to diagnose, once for the result
+    diagnosis = None
+    for name, one in panels.items():
+        asked = jobs.where(F.col("target_column") == name).select("series_id").distinct()
+        found = full_diagnosis(one.join(asked, "series_id", "left_semi"), name)
+        diagnosis = found if diagnosis is None else diagnosis.unionByName(found)
+    told = diagnosis.withColumn("summary", digest_column())
+    return ForecastBatch(jobs.join(told, ["series_id", "target_column"], "left"), batch.forecasts)
 
 
 def job_by_id(jobs: DataFrame, job_id: str) -> DataFrame:

@@ -99,3 +99,23 @@ def test_a_failing_model_does_not_stop_the_others(spark, monkeypatch):
     batch = run_jobs(requests, p)
     got = {r.job_id: (r.status, r.error) for r in batch.jobs.collect()}
     assert got["2"] == ("done", None) and got["1"][0] == "failed" and "ZeroDivisionError" in got["1"][1]
+
+
+def test_states_and_memories_of_streamed_jobs(spark, tmp_path):
+    from seriesloom.streaming.intake import job_states, pending_requests
+
+    p = make_panel(spark, {"a": wave(200, base=5.0)})
+    inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    inbox.mkdir()
+    (inbox / "one.json").write_text('{"job_id": "1", "series_id": "a", "model_name": "ets", "horizon": 2}\n{"job_id": "2", "series_id": "b"}\n')
+    assert job_states(spark, out) is None and pending_requests(spark, str(inbox), out).count() == 2
+    stream_jobs(spark, str(inbox), p, mark, out).awaitTermination(120)
+    (inbox / "two.json").write_text('{"job_id": "3", "series_id": "a"}\n')
+    assert {r.job_id: r.status for r in job_states(spark, out).collect()} == {"1": "done", "2": "failed"}
+    assert [r.job_id for r in pending_requests(spark, str(inbox), out).collect()] == ["3"]
+    spark.createDataFrame([("9",)], "job_id string").write.parquet(f"{out}/started/batch=9")  # taken in, no result
+    assert {r.job_id: r.status for r in job_states(spark, out).collect()}["9"] == "running"
+    (memory,) = spark.read.parquet(f"{out}/memories").collect()
+    assert memory.job_id == "1" and "Dataset: 200 rows" in memory.text and len(memory.embedding) == memory.dim
+    (job,) = spark.read.parquet(f"{out}/jobs").where("job_id = '1'").collect()
+    assert job.started_at <= job.finished_at and job.summary == memory.text
