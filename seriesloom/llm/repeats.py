@@ -147,14 +147,18 @@ def repeat_groups(left: list[bytes], right: list[bytes], length: int) -> Iterato
         done += 1
 
 
-def covers(left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
-    """``(member, bytes before, bytes from the anchor on)`` of every member's widest repeats."""
-    best = [-1] * len(right)
+def covers(left: list[bytes], right: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """``(member, bytes before, bytes from the anchor on)`` that repeats cover, for every member of a group.
+
+    All repeats through an anchor hold the anchor, so together they cover one run: from the widest reach to the left to
+    the widest to the right.
+    """
+    reach: dict[int, tuple[int, int]] = {}
     for ext, depth, group in repeat_groups(left, right, length):
         for m in group:
-            if ext > best[m]:  # deeper intervals came first, so only a wider extension adds bytes
-                best[m] = ext
-                yield m, ext, depth
+            before, after = reach.get(m, (0, 0))
+            reach[m] = max(before, ext), max(after, depth)
+    return [(m, before, after) for m, (before, after) in reach.items()]
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, classes_at_once: int = CLASSES) -> DataFrame:
@@ -265,7 +269,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, cla
     spots = counted.groupBy("w1", "w2").agg(F.min("spot").alias("low"), F.max("spot").alias("high"))
     several = spots.where("low <> high").select("w1", "w2")
     widest = counted.join(several, ["w1", "w2"], "left_semi").select("c1", "c2", "before", "after")
-    reached = stored(whole.union(found).union(widest), "reached")
+    # One row per class, so the join below makes no more rows than there are occurrences.
+    every_reach = whole.union(found).union(widest).groupBy("c1", "c2")
+    reached = stored(every_reach.agg(F.max("before").alias("before"), F.max("after").alias("after")), "reached")
     spans = shared.join(reached, ["c1", "c2"]).select(
         "key_a", "key_b", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop")
     )
