@@ -8,6 +8,7 @@ from seriesloom.catalog.registry import EVENTS_RAW, Tables, in_blocks, ntz, orde
 from seriesloom.operators import anomaly as A
 from seriesloom.operators.additive import additive
 from seriesloom.operators.conformal import conformal
+from seriesloom.operators.grid import future_grid, resolve_period
 from seriesloom.plans.diagnosis import full_report
 from seriesloom.plans.jobs import run_jobs
 from seriesloom.sources.panel import to_panel
@@ -169,3 +170,30 @@ def _(t: Tables):
         F.concat("series_id", "target_column").alias("job_id"), "series_id", F.lit("ets").alias("model_name"), F.lit(3).alias("horizon"), "target_column"
     )
     return run_jobs(requests, panels).jobs.select("job_id", "target_column", "status", "error")
+
+
+def _workdays(t: Tables):
+    """One row for each weekday; days on which a priority has no order are filled in."""
+    panel = t.orders()
+    ends = panel.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    day = F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY")))
+    return ends.select("series_id", day.alias("ts")).where(F.weekday("ts") < 5).withColumn("y", F.lit(1.0))
+
+
+@query(
+    "future_grid_business",
+    f"""WITH last AS (SELECT series_id, max(ts) AS ts FROM (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts
+  FROM ({orders_by('day')}) GROUP BY 1) WHERE isodow(ts) <= 5 GROUP BY 1),
+ahead AS (SELECT series_id, ts + d * INTERVAL 1 DAY AS ts FROM last, range(1, 30) AS r(d))
+SELECT series_id, step_no, ts FROM (SELECT series_id, ts, (row_number() OVER (PARTITION BY series_id ORDER BY ts))::INT AS step_no
+  FROM ahead WHERE isodow(ts) <= 5) WHERE step_no <= 12""",
+)
+def _(t: Tables):
+    """A series on weekdays goes on on weekdays."""
+    return future_grid(_workdays(t), 12).select("series_id", "step_no", ntz("ts").alias("ts"))
+
+
+@query("resolve_period_business", f"SELECT DISTINCT series_id, NULL::INT AS period, false AS fell_back FROM ({orders_by('day')})")
+def _(t: Tables):
+    """Business days have no seasonal period."""
+    return resolve_period(_workdays(t)).select("series_id", "period", "fell_back")

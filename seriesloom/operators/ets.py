@@ -467,6 +467,7 @@ def predict_ets(
         F.lit("error"), F.lit(error),
         F.lit("trend"), F.lit(trend or "none"),
         F.lit("seasonal"), F.when(m > 0, F.lit(seasonal)).otherwise(F.lit("none")),
+        F.lit("damped_trend"), (F.col("phi") < 1).cast("string"),
         F.lit("seasonal_periods"), F.coalesce(F.col("period").cast("string"), F.lit("none")),
         F.lit("seasonal_fallback"), F.col("fell_back").cast("string"),
         F.lit("aic"), exact_round(F.col("aic"), 3).cast("string"),

@@ -22,9 +22,22 @@ def step_name(frequency: Column, median_s: Column) -> Column:
     return out
 
 
+def _business_days(panel: DataFrame) -> DataFrame:
+    """``(series_id, business)``: a row on every day from Monday to Friday, none on others, over at least one weekend."""
+    day = F.datediff(F.col("ts"), F.lit("1970-01-05"))  # a Monday
+    place = lambda d: 5 * F.floor(d / 7) + F.pmod(d, F.lit(7))
+    first, last = F.min(day), F.max(day)
+    every = F.count(F.lit(1)) == place(last) - place(first) + 1
+    gap = F.floor(last / 7) > F.floor(first / 7)
+    return panel.groupBy("series_id").agg((every & gap & (F.max(F.pmod(day, F.lit(7))) <= 4)).alias("business"))
+
+
 def steps_of(panel: DataFrame) -> DataFrame:
-    """``(series_id, frequency, median_s, step, regular)``: how each series continues."""
-    freq = detect_frequency(panel)
+    """``(series_id, frequency, median_s, step, regular)``: how each series continues.
+
+    A daily series without weekends continues on business days, which have no seasonal period.
+    """
+    freq = detect_frequency(panel).join(_business_days(panel.where(F.col("ts").isNotNull())), "series_id", "left")
     regular = F.coalesce(
         (F.col("median_s") > 0) & (ratio(F.col("mad_s"), F.col("median_s")) <= MAX_DISPERSION), F.lit(False)
     )
@@ -32,7 +45,9 @@ def steps_of(panel: DataFrame) -> DataFrame:
         "series_id",
         "frequency",
         "median_s",
-        F.when(regular, step_name(F.col("frequency"), F.col("median_s"))).alias("step"),
+        F.when(regular & F.coalesce("business", F.lit(False)) & (F.col("frequency") == "daily"), F.lit("business"))
+        .when(regular, step_name(F.col("frequency"), F.col("median_s")))
+        .alias("step"),
         regular.alias("regular"),
     )
 
@@ -61,7 +76,7 @@ def resolve_period(panel: DataFrame, given: int | None = None, steps: DataFrame
 
 
 def future_time(last: Column, step: Column, median_s: Column, h: Column) -> Column:
-    """Time ``h`` steps after ``last``; months keep month ends, other steps are exact."""
+    """Time ``h`` steps after ``last``; months keep month ends, business days skip weekends, other steps are exact."""
     months = F.lit(None).cast("int")
     for name, size in _MONTHS.items():
         months = F.when(step == name, F.lit(size)).otherwise(months)
@@ -71,7 +86,9 @@ def future_time(last: Column, step: Column, median_s: Column, h: Column) -> Colu
     clock = F.unix_micros(last) - F.unix_micros(F.date_trunc("day", last))
     calendar = F.timestamp_micros(F.unix_micros(ahead.cast("timestamp")) + clock)
     exact = F.timestamp_micros(F.unix_micros(last) + F.round(median_s * F.lit(1e6)).cast("bigint") * h)
-    return F.when(months.isNotNull(), calendar).otherwise(exact)
+    weekends = F.floor((F.weekday(last) + h) / 5).cast("bigint")
+    working = F.timestamp_micros(F.unix_micros(last) + F.lit(86_400_000_000) * (h + 2 * weekends))
+    return F.when(months.isNotNull(), calendar).when(step == "business", working).otherwise(exact)
 
 
 def horizons(panel: DataFrame, horizon: int | DataFrame) -> DataFrame:

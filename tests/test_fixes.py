@@ -119,3 +119,33 @@ def test_states_and_memories_of_streamed_jobs(spark, tmp_path):
     assert memory.job_id == "1" and "Dataset: 200 rows" in memory.text and len(memory.embedding) == memory.dim
     (job,) = spark.read.parquet(f"{out}/jobs").where("job_id = '1'").collect()
     assert job.started_at <= job.finished_at and job.summary == memory.text
+
+
+def test_ranks_among_values_close_together(spark):
+    """All values agree in the leading mantissa bits; only a handful is left to order at the last level."""
+    from seriesloom.functions.order import _coarse, _digit, order_statistics
+
+    rng = np.random.default_rng(5)
+    values = np.concatenate([1.7e9 + rng.random(20_000) * 10, -1.7e9 - rng.random(2_000)])
+    df = spark.createDataFrame([("s", float(v)) for v in values], "series_id string, y double")
+    ranks = {"low": F.lit(1), "mid": F.floor(F.col("_n") / 2), "high": F.col("_n"), "out": F.col("_n") + 1}
+    got = order_statistics(df, ["series_id"], "y", ranks).first()
+    ordered = np.sort(values)
+    assert (got.low, got.mid, got.high, got.out, got._n) == (ordered[0], ordered[len(values) // 2 - 1], ordered[-1], None, len(values))
+    keys = df.select(_coarse(F.col("y")).alias("a"), _digit(F.col("y"), 1).alias("b"), _digit(F.col("y"), 2).alias("c"))
+    assert keys.groupBy("a").count().agg(F.max("count")).first()[0] >= 2_000
+    assert keys.groupBy("a", "b", "c").count().agg(F.max("count")).first()[0] < 100
+
+
+def test_business_days(spark):
+    import pandas as pd
+
+    from seriesloom.operators.grid import future_grid, steps_of
+
+    days = pd.bdate_range("2024-01-01", periods=30)  # ends on Friday, 9 February
+    holes = days.delete(12)
+    rows = [(k, t.to_pydatetime(), 1.0) for k, d in (("all", days), ("hole", holes), ("week", days[:5])) for t in d]
+    panel = spark.createDataFrame(rows, "series_id string, ts timestamp, y double")
+    assert {r.series_id: r.step for r in steps_of(panel).collect()} == {"all": "business", "hole": "daily", "week": "daily"}
+    ahead = future_grid(panel.where("series_id = 'all'"), 6).orderBy("step_no").collect()
+    assert [str(r.ts.date()) for r in ahead] == [str(d.date()) for d in pd.bdate_range("2024-02-12", periods=6)]
