@@ -10,14 +10,13 @@ from seriesloom.catalog.diagnosis import _MIXED, mixed
 from seriesloom.catalog.registry import Tables, events_by, lineitem_by, ntz, numbered, orders_by, query, r
 from seriesloom.catalog.sources import frequency_sql
 from seriesloom.functions.lineage import shared_folder
-from seriesloom.operators.additive import SEASONS, additive
+from seriesloom.operators.additive import SEASONS, additive, additive_spec, gram_cells
 from seriesloom.operators.conformal import (
     calibration_scores, conformal, conformal_quantile, split_panel, training_rows, unbounded_intervals,
 )
 from seriesloom.operators.ets import Z80, Z95, ets, fit_ets
 from seriesloom.operators.grid import future_grid, resolve_period
 from seriesloom.operators.registry import model_cards, models_that_fit, usable_counts
-from seriesloom.operators.stationarity import gram
 from seriesloom.plans.jobs import check_requests, job_by_id, jobs_by_status, run_forecast, run_jobs
 from seriesloom.sources.panel import compact
 from seriesloom.streaming.intake import finished_jobs, stream_jobs
@@ -159,15 +158,18 @@ def _additive_gram_sql() -> str:
 
 @query("additive_gram", _additive_gram_sql())
 def _(t: Tables):
+    """Gram matrices of the model's own design (weekly season, no changepoints), piece by piece as for long series."""
     rows = compact(t.orders())
-    ends = rows.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    micros, day = F.unix_micros("ts"), F.unix_micros("ts") / F.lit(86_400_000_000.0)
-    t_ = (micros - F.unix_micros("a")) / (F.unix_micros("b") - F.unix_micros("a")).cast("double")
-    angle = lambda i: day * F.lit(2 * 3.141592653589793 * i / 7)
-    season = [getattr(F, f)(angle(i)).alias(f"{f}{i}") for f, i in _WEEK]
-    design = rows.join(ends, "series_id").select("series_id", F.lit(1.0).alias("one"), t_.alias("t"), *season, (F.col("y") / 1e6).alias("v"))
-    names = ["one", "t", *[f"{f}{i}" for f, i in _WEEK]]
-    return gram(design, ["series_id"], names, "v").withColumn("v", r("v", 4))
+    spec = additive_spec(rows, False, True, False, 0)
+    keyed = rows.select("series_id", "pos", F.unix_micros("ts").alias("micros"), "y").join(spec, "series_id")
+    cells = gram_cells(keyed).join(spec.select("series_id", "scale"), "series_id")
+    # The design begins with time and constant and ends with the scaled value; the SQL has the constant first, millions last.
+    swap = lambda c: F.when(F.col(c) < 2, 1 - F.col(c)).otherwise(F.col(c))
+    last = 2 + len(_WEEK)
+    times = F.when(F.col("i") == last, 1).otherwise(0) + F.when(F.col("j") == last, 1).otherwise(0)
+    value = F.col("v") * F.pow(F.col("scale") / F.lit(1e6), times)
+    placed = cells.select("series_id", F.least(swap("i"), swap("j")).alias("i"), F.greatest(swap("i"), swap("j")).alias("j"), value.alias("v"))
+    return placed.withColumn("v", r("v", 4))
 
 
 @query("additive_forecast")

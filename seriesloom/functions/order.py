@@ -40,7 +40,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
-def _coarse(value: Column) -> Column:
+def coarse(value: Column) -> Column:
     """A monotone, coarse key of a double: sign, exponent and about 13 bits of mantissa."""
     size = F.abs(value)
     exponent = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
@@ -50,7 +50,7 @@ def _coarse(value: Column) -> Column:
 
 
 def _digit(value: Column, level: int) -> Column:
-    """The ``level``-th group of 13 mantissa bits below :func:`_coarse`; monotone among values that agree above it."""
+    """The ``level``-th group of 13 mantissa bits below :func:`coarse`; monotone among values that agree above it."""
     size = F.abs(value)
     exponent = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
     fraction = size / F.pow(F.lit(2.0), exponent) - 1
@@ -77,7 +77,7 @@ def order_statistics(
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("_v"))
         .agg(total.alias("_c"))
-        .withColumns({"_b0": _coarse(v), "_b1": _digit(v, 1), "_b2": _digit(v, 2)})
+        .withColumns({"_b0": coarse(v), "_b1": _digit(v, 1), "_b2": _digit(v, 2)})
     )
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), e.cast("bigint").alias("rank")) for k, e in ranks.items()]))
     wanted = (

@@ -180,19 +180,23 @@ def _cells_kernel(tau: float):
     return kernel
 
 
-def fit_additive(rows: DataFrame, spec: DataFrame, changepoint_scale: float, bounded: bool) -> DataFrame:
-    """Coefficients per series from :func:`compact` rows and their spec."""
-    keyed = rows.select("series_id", "pos", F.unix_micros("ts").alias("micros"), "y").join(spec, "series_id")
-    if bounded:
-        return keyed.groupBy("series_id").applyInPandas(_whole_kernel(changepoint_scale), _FIT)
-    cells = (
+def gram_cells(keyed: DataFrame) -> DataFrame:
+    """``(series_id, i, j, v)``: upper triangle of each series' Gram matrix, summed over its pieces."""
+    return (
         pieces(keyed)
         .groupBy("series_id", "piece")
         .applyInPandas(_piece_kernel, "series_id string, i int, j int, v double")
         .groupBy("series_id", "i", "j")
         .agg(F.sum("v").alias("v"))
     )
-    return cells.join(spec, "series_id").groupBy("series_id").applyInPandas(_cells_kernel(changepoint_scale), _FIT)
+
+
+def fit_additive(rows: DataFrame, spec: DataFrame, changepoint_scale: float, bounded: bool) -> DataFrame:
+    """Coefficients per series from :func:`compact` rows and their spec."""
+    keyed = rows.select("series_id", "pos", F.unix_micros("ts").alias("micros"), "y").join(spec, "series_id")
+    if bounded:
+        return keyed.groupBy("series_id").applyInPandas(_whole_kernel(changepoint_scale), _FIT)
+    return gram_cells(keyed).join(spec, "series_id").groupBy("series_id").applyInPandas(_cells_kernel(changepoint_scale), _FIT)
 
 
 def _season(beta: str, period: float, days: Column) -> Column:

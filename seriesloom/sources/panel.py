@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesloom.functions.order import coarse
+
 # Longest series handled by one task in ordered steps. A calendar of days has 3.65 million
 # entries at most (years 1 to 9999), so panels of days and coarser are always below it.
 SERIES_ROWS = 4_000_000
@@ -29,6 +31,9 @@ BLOCK_ROWS = 65_536
 # Quantile cuts taken of a long raw series before each stretch is split evenly in time.
 _CUTS = 64
 
+# More than twice the largest coarse key of a value.
+_VALUES = 1 << 27
+
 _GRAIN_SECONDS = {"second": 1, "minute": 60, "hour": 3_600}
 _CALENDAR = ("day", "week", "month", "quarter", "year")
 
@@ -158,7 +163,8 @@ def split_long(panel: DataFrame, series_rows: int = SERIES_ROWS, block_rows: int
 
     One count per series decides. Only long series get quantile cuts of their time axis, so
     the table joined back has one short row per ``series_rows`` input rows at most. A
-    stretch between two cuts holds an even share of the rows and is split evenly in time.
+    stretch between two cuts holds an even share of the rows and is split evenly in time, and rows at the time of a cut by
+    value.
     """
     if "block" in panel.columns:
         return panel
@@ -178,9 +184,14 @@ def split_long(panel: DataFrame, series_rows: int = SERIES_ROWS, block_rows: int
     low, high = F.element_at("_cuts", i), F.element_at("_cuts", i + 1)
     share = F.coalesce(F.try_divide((micros - low).cast("double"), (high - low).cast("double")), F.lit(0.0))
     sub = F.least(F.greatest(F.floor(share * F.col("_split")), F.lit(0)), F.col("_split") - 1)
+    # Rows at the very time of a cut come first in their stretch. A default date can put very many there, so they
+    # are parted by their values as well; only rows equal in both stay together.
+    at_cut = micros == low
+    part = F.when(at_cut, F.lit(0)).otherwise(sub + 1)
+    inner = F.when(at_cut & F.col("y").isNotNull(), coarse(F.col("y")) + F.lit(_VALUES // 2)).otherwise(F.lit(0))
+    number = ((i - 1) * (F.col("_split") + 1) + part) * F.lit(_VALUES) + inner
     return panel.join(cuts, "series_id", "left").select(
-        *panel.columns,
-        F.when(F.col("_n").isNull(), F.lit(0)).otherwise((i - 1) * F.col("_split") + sub).cast("bigint").alias("block"),
+        *panel.columns, F.when(F.col("_n").isNull(), F.lit(0)).otherwise(number).cast("bigint").alias("block")
     )
 
 

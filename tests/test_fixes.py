@@ -123,7 +123,7 @@ def test_states_and_memories_of_streamed_jobs(spark, tmp_path):
 
 def test_ranks_among_values_close_together(spark):
     """All values agree in the leading mantissa bits; only a handful is left to order at the last level."""
-    from seriesloom.functions.order import _coarse, _digit, order_statistics
+    from seriesloom.functions.order import coarse, _digit, order_statistics
 
     rng = np.random.default_rng(5)
     values = np.concatenate([1.7e9 + rng.random(20_000) * 10, -1.7e9 - rng.random(2_000)])
@@ -132,7 +132,7 @@ def test_ranks_among_values_close_together(spark):
     got = order_statistics(df, ["series_id"], "y", ranks).first()
     ordered = np.sort(values)
     assert (got.low, got.mid, got.high, got.out, got._n) == (ordered[0], ordered[len(values) // 2 - 1], ordered[-1], None, len(values))
-    keys = df.select(_coarse(F.col("y")).alias("a"), _digit(F.col("y"), 1).alias("b"), _digit(F.col("y"), 2).alias("c"))
+    keys = df.select(coarse(F.col("y")).alias("a"), _digit(F.col("y"), 1).alias("b"), _digit(F.col("y"), 2).alias("c"))
     assert keys.groupBy("a").count().agg(F.max("count")).first()[0] >= 2_000
     assert keys.groupBy("a", "b", "c").count().agg(F.max("count")).first()[0] < 100
 
@@ -149,3 +149,20 @@ def test_business_days(spark):
     assert {r.series_id: r.step for r in steps_of(panel).collect()} == {"all": "business", "hole": "daily", "week": "daily"}
     ahead = future_grid(panel.where("series_id = 'all'"), 6).orderBy("step_no").collect()
     assert [str(r.ts.date()) for r in ahead] == [str(d.date()) for d in pd.bdate_range("2024-02-12", periods=6)]
+
+
+def test_a_hot_timestamp_is_split(spark):
+    """More than 90 % of a series' rows share one time; positions stay those of the whole."""
+    from seriesloom.sources.panel import with_pos
+
+    rng = np.random.default_rng(8)
+    rows = [("s", "1970-01-01 00:00:00", float(v)) for v in rng.normal(0, 10, 15_000)]
+    rows += [("s", "1970-01-01 00:00:00", None)] * 3
+    rows += [("s", f"2024-01-{d:02d} {h:02d}:00:00", float(rng.normal())) for d in range(1, 29) for h in range(24)]
+    df = spark.createDataFrame(rows, "k string, t string, y double")
+    whole = with_pos(to_panel(df, ["k"], "t", "y"))
+    split = with_pos(to_panel(df, ["k"], "t", "y", series_rows=500, block_rows=100))
+    assert "block" in split.columns
+    assert split.groupBy("block").count().agg(F.max("count")).first()[0] < 600
+    key = lambda d: sorted((r.pos, r.ts, r.y, r.prev_ts) for r in d.where("y IS NOT NULL").collect())
+    assert key(whole) == key(split)
