@@ -6,10 +6,10 @@ pigeonhole principle, a band with at most ``radius // bands`` of them; so every
 each way to leave that many symbols out, and all such pairs meet in a bucket. Documents with the same shingle
 set are one class before any of this, and only its representative is indexed.
 
-Inside a bucket signatures are compared in arrays, and only a spanning forest of the pairs
-that come close leaves the task, never all pairs. The components of these are candidate clusters; their shingle sets
-meet block by block, all intersections are exact (one matrix product per block pair), and again only a
-spanning forest of the true links leaves the task: a link that is left out joins what is joined already.
+Inside a bucket signatures are compared in arrays, and of the pairs that come close only a star per
+component leaves the task, never all pairs. The components of these are candidate clusters; their shingle sets
+meet block by block, all intersections are exact (one matrix product per block pair), and again only
+stars of what the true links join leave the task: a link that is left out joins what is joined already.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.components import components
 from seriesloom.llm.flat import flat, mix, pieces, shingles, whole_groups
 from seriesloom.llm.session import body, prepare, row_key, stored
 
-BANDS, WIDTH, RADIUS = 16, 4, 31
-#: Signatures this far apart are no candidates. At similarity 0.75 the mean distance is 16, and
-#: more than 36 has a chance of about 2e-8.
-FAR = 36
+BANDS, WIDTH, RADIUS = 12, 4, 23
+#: Signatures further apart than this are no candidates. At similarity 0.75 the distance is 12 in the mean, and
+#: more than 28 with a chance of about 3e-7.
+FAR = 28
 #: Signatures compared at once, and shingle sets intersected at once.
 BUCKET_BLOCK, SET_BLOCK = 2048, 512
 COLUMNS = 8192
@@ -60,35 +60,23 @@ def band_keys(signature: np.ndarray, bands: int, width: int, radius: int) -> np.
     return np.stack(keys, axis=1).view(np.int64)
 
 
-class Forest:
-    """Union-find over 0..n-1."""
+def stars(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links ``(first, other)`` of every component of the graph with this symmetric matrix.
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def spanning(near: np.ndarray, split: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the graph with this symmetric matrix.
-
-    split: only links between nodes before and from this number on count.
+    A star from a component's first node: as many links as a spanning forest has, and since the first node is
+    often the same in other buckets and blocks, repeated links fall together.
     """
-    n = len(near)
-    forest, out = Forest(n), []
-    for x in range(n if split is None else split):
-        for y in np.flatnonzero(near[x, x + 1 :]) + x + 1 if split is None else np.flatnonzero(near[x, split:]) + split:
-            if forest.join(x, int(y)):
-                out.append((x, int(y)))
+    out: list[tuple[int, int]] = []
+    todo = np.ones(len(near), bool)
+    for first in range(len(near)):
+        if not todo[first]:
+            continue
+        todo[first] = False
+        front = np.array([first])
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & todo)
+            todo[front] = False
+            out += [(first, int(y)) for y in front]
     return out
 
 
@@ -103,17 +91,14 @@ def _bucket_links(signature: np.ndarray, side: np.ndarray, far: int) -> list[tup
     """Links of one bucket or block pair; with two sides only links between them."""
     if len(signature) == 2:
         return [(0, 1)] if (signature[0] != signature[1]).sum() <= far else []
+    near = distances(signature, signature) <= far
     if side.any() and not side.all():
-        order = np.argsort(side, kind="stable")
-        cut = int((~side).sum())
-        near = np.zeros((len(order), len(order)), bool)
-        near[:cut, cut:] = distances(signature[order[:cut]], signature[order[cut:]]) <= far
-        return [(int(order[x]), int(order[y])) for x, y in spanning(near, cut)]
-    return spanning(distances(signature, signature) <= far)
+        near &= side[:, None] != side[None, :]
+    return stars(near)
 
 
 def _set_links(values: np.ndarray, offsets: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the sets whose intersection is at least ``percent`` % of their union."""
+    """Links between the components of the sets whose intersection is at least ``percent`` % of their union."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     owner = np.repeat(np.arange(n), size)
@@ -137,7 +122,7 @@ def _set_links(values: np.ndarray, offsets: np.ndarray, side: np.ndarray, percen
     if side.any() and not side.all():
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, False)
-    return spanning(near)
+    return stars(near)
 
 
 def _pairs_schema() -> str:
@@ -185,7 +170,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, symbols: in
 
 
 def candidate_links(classes: DataFrame, bands: int, width: int, radius: int, far: int) -> DataFrame:
-    """Links between classes that share an index key and are close in signature: a forest per bucket."""
+    """Links between classes that share an index key and are close in signature: stars per bucket."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,9 +181,8 @@ def candidate_links(classes: DataFrame, bands: int, width: int, radius: int, far
                 packed, _ = flat(part.column(2))
                 signature = packed.view("<u2").reshape(part.num_rows, -1)
                 key = band_keys(signature, bands, width, radius)
-                a, b = (np.repeat(part.column(k).to_numpy(), key.shape[1]) for k in (0, 1))
-                columns = [pa.array(key.ravel()), pa.array(a), pa.array(b)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
+                a = np.repeat(part.column(0).to_numpy(), key.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(a)], ["key", "a"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, ["key", "i", "j"]):
@@ -213,15 +197,28 @@ def candidate_links(classes: DataFrame, bands: int, width: int, radius: int, far
             if out:
                 yield _pair_batch(a, b, np.array(out))
 
-    keyed = classes.select("a", "b", "signature").mapInArrow(keys, "key long, a long, b long")
+    # One half of a class's name is enough here: should two classes share it, both are compared.
+    keyed = classes.select("a", "b", "signature").mapInArrow(keys, "key long, a long")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(BUCKET_BLOCK)).cast("int")
     shared = stored(shared.select("key", blocks.alias("blocks")), "keys")
-    members = keyed.join(shared, "key").join(classes.select("a", "b", "signature"), ["a", "b"])
+    members = keyed.join(shared.hint("merge"), "key").join(classes.select("a", "b", "signature"), "a")
     dealt = in_block_pairs(members)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "a", "b")
-    return sorted_.mapInArrow(scan, _pairs_schema()).distinct()
+    return through_least(stored(sorted_.mapInArrow(scan, _pairs_schema()).distinct(), "close"))
+
+
+def through_least(links: DataFrame) -> DataFrame:
+    """The same components by fewer links: a node and its other first nodes are linked to the smallest of these.
+
+    A member of a large group has another first node in each of its buckets, at most one per index key; the links between
+    first nodes repeat from member to member and fall together.
+    """
+    least = F.min("x").over(Window.partitionBy("y"))
+    led = links.select("x", "y", least.alias("least"))
+    both = led.select(F.col("least").alias("x"), "y").union(led.select(F.col("least").alias("x"), F.col("x").alias("y")))
+    return both.where("x <> y").distinct()
 
 
 def in_block_pairs(members: DataFrame) -> DataFrame:
@@ -236,12 +233,12 @@ def in_block_pairs(members: DataFrame) -> DataFrame:
 
 
 def true_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Confirmed links inside candidate clusters, a forest per block pair, on full shingle sets.
+    """Confirmed links inside candidate clusters, stars per block pair, on full shingle sets.
 
     nodes: ``a, b, key_a, key_b, cluster, blocks``; the key is that of a row that has the class's set.
     """
     keyed = docs.select(*row_key(id_col, text_col), body(text_col).alias("body"))
-    texts = keyed.join(nodes, ["key_a", "key_b"])
+    texts = keyed.join(nodes.hint("merge"), ["key_a", "key_b"])  # grows with the corpus: never broadcast
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
