@@ -171,7 +171,8 @@ def fit(
         some = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[1, some]), pa.array(held[0, some])], ["place", "n1", "n0"])
 
-    counted = texts.join(marked, "id").select("body", "good").mapInArrow(count, "place long, n1 long, n0 long")
+    # Labels grow with the corpus, so they are never broadcast.
+    counted = texts.join(marked.hint("merge"), "id").select("body", "good").mapInArrow(count, "place long, n1 long, n0 long")
     totals = counted.groupBy("place").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toPandas()
     n = np.zeros((2, PLACES + 1))
     n[1, totals["place"]], n[0, totals["place"]] = totals["n1"], totals["n0"]
