@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
 
 #: ASCII white space of the word rule: space and the characters 9 to 13.
 SPACE = np.zeros(256, bool)

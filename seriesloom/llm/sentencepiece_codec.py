@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.session import prepare, row_key
 
 SPACE = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def read_pieces(path: str) -> dict:
@@ -211,6 +211,9 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bo
                     decoded.append(sha(b) if digests else b)
                 columns = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], ["id", "key_a", "key_b", "n_tokens", *names])
+        # The worker may serve other stages next and should not hold words for them.
+        codec.known.clear()
+        codec.fits.clear()
 
     keyed = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     schema = f"id {kind}, key_a long, key_b long, n_tokens long, {names[0]} string, {names[1]} string"
