@@ -55,32 +55,36 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -
     return np.unique((least[valid] & low).astype(np.int64))
 
 
-def stretches(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+def stretches(offsets: np.ndarray, length: int, piece_bytes: int) -> Iterator[tuple[int, int, int, int, int, int]]:
     """``(first row, last row, from, to, strings from, strings to)`` of stretches that fit a piece.
 
     A text longer than a piece is cut into stretches that overlap, so each of its strings is in one and its anchor has
     all surroundings; the last two numbers bound the strings that are the stretch's own.
     """
-    for i, j in pieces(offsets, PIECE):
+    for i, j in pieces(offsets, piece_bytes):
         a, b = int(offsets[i]), int(offsets[j])
-        if b - a <= PIECE:
+        if b - a <= piece_bytes:
             yield i, j, a, b, a, b
             continue
-        for s in range(a, b, PIECE - 4 * length):
-            e = min(b, s + PIECE - 4 * length)
+        for s in range(a, b, piece_bytes - 4 * length):
+            e = min(b, s + piece_bytes - 4 * length)
             yield i, j, max(a, s - length), min(b, e + 2 * length), s, min(b, e + length - 1)
 
 
-def occurrences(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
+def occurrences(data: np.ndarray, offsets: np.ndarray, length: int, piece_bytes: int = PIECE) -> dict[str, np.ndarray]:
     """Anchors of all rows: row, place in the row, bytes to both sides, hash of the anchor and two of its surroundings."""
     gram = min(GRAM, length)
     out: dict[str, list] = {k: [] for k in ("row", "place", "left", "right", "anchor", "c1", "c2")}
-    for i, j, a, b, s, e in stretches(offsets, length):
+    last = -1
+    for i, j, a, b, s, e in stretches(offsets, length, piece_bytes):
         part = data[a:b]
         begin, end = np.maximum(offsets[i:j], a) - a, np.minimum(offsets[i + 1 : j + 1], b) - a
         found = anchors(part, np.maximum(begin, s - a), np.minimum(end, e - a), length)
+        # The last strings of a stretch and the first of the next may share their anchor, which occurs once.
+        found = found[found + a > last]
         if not len(found):
             continue
+        last = int(found[-1]) + a
         row = np.searchsorted(begin, found, "right") - 1
         left = np.minimum(found - begin[row], length - gram)
         right = np.minimum(end[row] - found, length)
@@ -161,7 +165,9 @@ def covers(left: list[bytes], right: list[bytes], length: int) -> list[tuple[int
     return [(m, before, after) for m, (before, after) in reach.items()]
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, classes_at_once: int = CLASSES) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_col: str, text_col: str, length: int, classes_at_once: int = CLASSES, piece_bytes: int = PIECE
+) -> DataFrame:
     """Per row key the spans ``[start, stop)`` of bytes under repeated strings; spans may overlap."""
     keyed = docs.select(*row_key(id_col, text_col), body(text_col).alias("body"))
 
@@ -169,8 +175,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, cla
         names = ["place", "left", "right", "anchor", "c1", "c2"]
         for batch in batches:
             data, offsets = flat(batch.column(2))
-            for i, j in pieces(offsets, 4 * PIECE):
-                got = occurrences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+            for i, j in pieces(offsets, 4 * piece_bytes):
+                got = occurrences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, piece_bytes)
                 if len(got["row"]):
                     keys = batch.select(["key_a", "key_b"]).take(pa.array(got["row"] + i))
                     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -278,7 +284,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, cla
     return spans
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, classes_at_once: int = CLASSES) -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 400,
+    classes_at_once: int = CLASSES,
+    piece_bytes: int = PIECE,
+) -> DataFrame:
     """Remove every byte under a string of ``length`` bytes that also starts elsewhere, in any text.
 
     One row per row of ``docs``: id, ``n_bytes``, ``spans`` (maximal removed runs, ascending), ``n_removed`` and ``kept``, the
@@ -289,7 +302,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_spans(docs, id_col, text_col, length, classes_at_once)
+    spans = repeated_spans(docs, id_col, text_col, length, classes_at_once, piece_bytes)
     spans = spans.groupBy("key_a", "key_b").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     keyed = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), body(text_col).alias("body"))
     joined = keyed.join(spans.hint("merge"), ["key_a", "key_b"], "left").select("id", "body", "spans.start", "spans.stop")

@@ -389,6 +389,19 @@ def test_repeats_in_a_text_longer_than_a_piece(spark, monkeypatch):
     assert counted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(docs, 50)
 
 
+@pytest.mark.parametrize("at_once", [4096, 2])
+def test_repeats_across_the_borders_of_stretches(spark, at_once):
+    """The piece size goes to the workers; an anchor that two stretches share is one occurrence."""
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choices("abcdef", k=n))
+    passage = some(120)
+    text = "".join(some(rng.randint(100, 900)) + passage for _ in range(12))
+    docs = [(1, text), (2, text[3000:3300]), (3, some(9000)), (4, "ab" * 4000), (5, some(9000))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = without_repeats(df, length=50, classes_at_once=at_once, piece_bytes=2000).collect()
+    assert counted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(docs, 50)
+
+
 # -- 9: language
 
 
