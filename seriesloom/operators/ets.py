@@ -187,32 +187,52 @@ def _start_values(y: np.ndarray, m: int, trend: str | None, seasonal: str | None
     return head, (later - first) / span if trend else 0.0, season
 
 
-def _fold(y: np.ndarray, params: np.ndarray, m: int, error: str, trend: str | None, seasonal: str | None):
-    """Recursions with multiplicative parts, vectorised over candidates."""
-    alpha, beta, gamma, phi = params.T
-    level0, slope0, season0 = _start_values(y, m, trend, seasonal)
-    level, slope = np.full(len(params), level0), np.full(len(params), slope0)
-    season = np.tile(season0, (len(params), 1))
-    squares, logs = np.zeros(len(params)), np.zeros(len(params))
-    for i, value in enumerate(y):
-        damped = slope**phi if trend == "mul" else phi * slope
-        ahead = level * damped if trend == "mul" else level + (damped if trend else 0.0)
-        s = season[:, i % m] if m else None
-        mean = ahead if s is None else (ahead * s if seasonal == "mul" else ahead + s)
-        raw = value - mean
-        e = raw / mean if error == "mul" else raw
-        squares += e * e
-        logs += np.log(np.abs(mean)) if error == "mul" else 0.0
-        gain = raw / s if seasonal == "mul" else raw  # the error in units of the level
-        level = ahead + alpha * gain
-        if trend == "mul":
-            slope = damped + beta * gain / np.maximum(np.abs(level - alpha * gain), 1e-12)
-        elif trend:
-            slope = damped + beta * gain
-        if s is not None:
-            season[:, i % m] = s + gamma * (raw / ahead if seasonal == "mul" else raw)
-    objective = len(y) * np.log(np.maximum(squares, 1e-300)) + 2 * logs
-    return objective, squares, level, slope, season
+class _Fold:
+    """Recursions with multiplicative parts, vectorised over candidates; takes a series stretch by stretch."""
+
+    def __init__(self, start: tuple, params: np.ndarray, m: int, error: str, trend: str | None, seasonal: str | None) -> None:
+        self.params, self.m, self.kinds, self.n = params, m, (error, trend, seasonal), 0
+        level0, slope0, season0 = start
+        self.level, self.slope = np.full(len(params), level0), np.full(len(params), slope0)
+        self.season = np.tile(season0, (len(params), 1))
+        self.squares, self.logs = np.zeros(len(params)), np.zeros(len(params))
+
+    def take(self, y: np.ndarray) -> None:
+        alpha, beta, gamma, phi = self.params.T
+        m, (error, trend, seasonal) = self.m, self.kinds
+        level, slope, season, squares, logs = self.level, self.slope, self.season, self.squares, self.logs
+        for i, value in enumerate(y, self.n):
+            damped = slope**phi if trend == "mul" else phi * slope
+            ahead = level * damped if trend == "mul" else level + (damped if trend else 0.0)
+            s = season[:, i % m] if m else None
+            mean = ahead if s is None else (ahead * s if seasonal == "mul" else ahead + s)
+            raw = value - mean
+            e = raw / mean if error == "mul" else raw
+            squares += e * e
+            logs += np.log(np.abs(mean)) if error == "mul" else 0.0
+            gain = raw / s if m and seasonal == "mul" else raw  # the error in units of the level
+            level = ahead + alpha * gain
+            if trend == "mul":
+                slope = damped + beta * gain / np.maximum(np.abs(level - alpha * gain), 1e-12)
+            elif trend:
+                slope = damped + beta * gain
+            if s is not None:
+                season[:, i % m] = s + gamma * (raw / ahead if seasonal == "mul" else raw)
+        self.level, self.slope = level, slope
+        self.n += len(y)
+
+    def best(self) -> tuple[int, float, float, np.ndarray]:
+        """The best candidate: its number, objective, sum of squares and last state."""
+        objective = self.n * np.log(np.maximum(self.squares, 1e-300)) + 2 * self.logs
+        objective = np.where(np.isfinite(objective), objective, np.inf)
+        i = int(np.argmin(objective))
+        state = np.concatenate([[self.level[i]], [self.slope[i]] * (self.kinds[1] is not None), self.season[i]])
+        return i, objective[i], self.squares[i], state
+
+
+def _general_row(params, state, objective, squares, n, m, has_trend, free) -> dict:
+    aic = objective + n * (math.log(2 * math.pi / n) + 1) + 2 * (len(free) + 1 + int(has_trend) + m)
+    return _row(params, state, squares, n, m, has_trend, free, 1.0, 0.0, aic)
 
 
 def fit_general(
@@ -225,19 +245,18 @@ def fit_general(
     free = _space(has_trend, damped, m > 0, fixed)
     points, best = _first_points(free), None
     with np.errstate(all="ignore"):
+        start = _start_values(y, m, trend, seasonal)
         for turn in range(_ROUNDS + 1):
             params = _parameters(points, free, has_trend, damped, fixed)
-            objective, squares, level, slope, season = _fold(y, params, m, error, trend, seasonal)
-            objective = np.where(np.isfinite(objective), objective, np.inf)
-            i = int(np.argmin(objective))
-            if best is None or objective[i] <= best[0]:
-                best = (objective[i], points[i], params[i], np.concatenate([[level[i]], [slope[i]] * has_trend, season[i]]), squares[i])
+            fold = _Fold(start, params, m, error, trend, seasonal)
+            fold.take(y)
+            i, objective, squares, state = fold.best()
+            if best is None or objective <= best[0]:
+                best = (objective, points[i], params[i], state, squares)
             if not free:
                 break
             points = _around(best[1], _FIRST_STEP / 2**turn)
-    n = len(y)
-    aic = best[0] + n * (math.log(2 * math.pi / n) + 1) + 2 * (len(free) + 1 + int(has_trend) + m)
-    return _row(best[2], best[3], best[4], n, m, has_trend, free, 1.0, 0.0, aic)
+    return _general_row(best[2], best[3], best[0], best[4], len(y), m, has_trend, free)
 
 
 # -- fitting a panel -----------------------------------------------------------------
@@ -299,13 +318,12 @@ def fit_ets(
     additive = error == "add" and trend in (None, "add") and seasonal in (None, "add")
     if is_bounded(panel):
         return keyed.select(*columns).groupBy("series_id").applyInPandas(kernel, f"series_id string, {FIT}")
-    if not additive:  # no composable form: one task per series, so only up to the task's bound
+    if not additive:  # no composable form: one task per series, above the task's bound batch by batch
         fits = keyed.where(F.col("n") <= SERIES_ROWS).select(*columns).groupBy("series_id").applyInPandas(
             kernel, f"series_id string, {FIT}"
         )
-        message = f"ValueError: multiplicative components take at most {SERIES_ROWS} rows per series."
-        refused = sizes.where(F.col("n") > SERIES_ROWS).select("series_id", "n", F.lit(message).alias("error"))
-        return fits.unionByName(refused, allowMissingColumns=True)
+        long_rows = keyed.where(F.col("n") > SERIES_ROWS).select(*columns, "n")
+        return fits.unionByName(fit_streamed(long_rows, error, trend, seasonal, damped, fixed))
     short = keyed.where(F.col("n") <= PIECE_ROWS).select(*columns)
     fitted = short.groupBy("series_id").applyInPandas(kernel, f"series_id string, {FIT}")
     long_rows = keyed.where(F.col("n") > PIECE_ROWS).select(*columns, "n")
@@ -416,6 +434,119 @@ def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed
     return done.unionByName(gaps, allowMissingColumns=True)
 
 
+class _Starts:
+    """``_start_values`` of a series taken stretch by stretch; holds its first cycles and the open one."""
+
+    def __init__(self, head: pd.Series, trend: str | None, seasonal: str | None) -> None:
+        self.m, self.trend, self.seasonal = int(head["m"]), trend, seasonal
+        self.first, self.open, self.season, self.cycles = np.zeros(0), np.zeros(0), np.zeros(self.m), 0
+
+    def take(self, y: np.ndarray) -> None:
+        m = self.m
+        self.first = np.append(self.first, y[: max(0, max(2 * m, 10) - len(self.first))])
+        if m:
+            y = np.append(self.open, y)
+            cycles = y[: len(y) // m * m].reshape(-1, m)
+            means = cycles.mean(axis=1, keepdims=True)
+            self.season += (cycles / means if self.seasonal == "mul" else cycles - means).sum(axis=0)
+            self.cycles += len(cycles)
+            self.open = y[cycles.size :]
+
+    def row(self) -> dict:
+        level, slope, _ = _start_values(self.first, self.m, self.trend, self.seasonal)
+        return {"start": [level, slope, *(self.season / self.cycles if self.m else ())]}
+
+
+class _Round:
+    """One round of the search over a series taken stretch by stretch."""
+
+    def __init__(self, head: pd.Series, turn: int, error: str, trend: str | None, seasonal: str | None, damped: bool, fixed: dict | None) -> None:
+        self.head, self.m, self.trend = head, int(head["m"]), trend
+        self.free = _space(trend is not None, damped, self.m > 0, fixed)
+        self.points = _first_points(self.free) if turn == 0 else _around(np.array(head["best"], float), _FIRST_STEP / 2 ** (turn - 1))
+        params = _parameters(self.points, self.free, trend is not None, damped, fixed)
+        start = np.array(head["start"], float)
+        self.fold = _Fold((start[0], start[1], start[2:]), params, self.m, error, trend, seasonal)
+
+    def take(self, y: np.ndarray) -> None:
+        self.fold.take(y)
+
+    def row(self) -> dict:
+        i, objective, squares, state = self.fold.best()
+        row = dict.fromkeys(_FIT_COLUMNS)
+        row.update(n=self.fold.n, period=self.m or None, fell_back=bool(self.head["fell_back"]), best=self.points[i].tolist())
+        params = self.fold.params[i]
+        row.update(_general_row(params, state, objective, squares, self.fold.n, self.m, self.trend is not None, self.free))
+        return row
+
+
+def _streamed(heads: DataFrame, rows: DataFrame, begin, made: str) -> DataFrame:
+    """One row per series by an object that takes the values in order, Arrow batch by Arrow batch.
+
+    A series' row in ``heads`` comes before its values, at position -1; ``begin`` makes the object from it.
+    """
+
+    def kernel(batches):
+        def ended(key, now) -> pd.DataFrame:
+            return pd.DataFrame([{"series_id": key, **now.row()}])
+
+        key = now = None
+        with np.errstate(all="ignore"):
+            for pdf in batches:
+                for sid, part in pdf.groupby("series_id", sort=False):
+                    if sid != key:
+                        if now is not None:
+                            yield ended(key, now)
+                        key, now, part = sid, begin(part.iloc[0]), part.iloc[1:]
+                    now.take(part["y"].to_numpy(float))
+            if now is not None:
+                yield ended(key, now)
+
+    both = rows.unionByName(heads.withColumn("pos", F.lit(-1).cast("bigint")), allowMissingColumns=True)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = both.repartition(parts, "series_id").sortWithinPartitions("series_id", "pos")
+    return sorted_.mapInPandas(kernel, f"series_id string, {made}")
+
+
+def fit_streamed(
+    rows: DataFrame, error: str, trend: str | None, seasonal: str | None, damped: bool, fixed: dict | None = None
+) -> DataFrame:
+    """The search of ``fit_general`` for series of any length: each round is one ordered pass over the values.
+
+    A series stays in one task, since its recursion has no composable form, but that task holds one batch and the
+    state of the candidates.
+    """
+    bad = F.col("y").isNull() | F.isnan("y")
+    facts = checkpoint(
+        rows.groupBy("series_id").agg(
+            F.max("n").alias("n"),
+            (F.coalesce(F.max("period"), F.lit(0)) if seasonal else F.lit(0)).alias("m"),
+            F.bool_or("fell_back").alias("fell_back"),
+            F.when(F.count_if(bad) > 0, "ValueError: ets does not handle missing values — drop or interpolate them first.")
+            .when(F.count_if(F.col("y") <= 0) > 0, "ValueError: multiplicative components need strictly positive values.")
+            .alias("error"),
+        )
+    )
+    period = F.when(F.col("m") > 0, F.col("m")).alias("period")
+    refused = facts.where("error IS NOT NULL").select("series_id", "n", period, "fell_back", "error")
+    good = facts.where("error IS NULL").select("series_id", "m", "fell_back")
+    # Every round reads the rows again, and each depends on the one before: both are cut off here.
+    values = checkpoint(rows.select("series_id", "pos", "y").join(good.select("series_id"), "series_id", "left_semi"))
+    starts = _streamed(good, values, lambda head: _Starts(head, trend, seasonal), "start array<double>")
+    heads = checkpoint(good.join(starts, "series_id"))
+    best = None
+    for turn in range(_ROUNDS + 1):
+        known = heads if best is None else heads.join(best.select("series_id", "best"), "series_id")
+
+        def begin(head: pd.Series, turn: int = turn) -> _Round:
+            return _Round(head, turn, error, trend, seasonal, damped, fixed)
+
+        best = checkpoint(_streamed(known, values, begin, f"best array<double>, {FIT}"))
+        if not _space(trend is not None, damped, seasonal is not None, fixed):
+            break
+    return best.drop("best").unionByName(refused, allowMissingColumns=True)
+
+
 # -- prediction ------------------------------------------------------------------------
 
 

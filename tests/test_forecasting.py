@@ -126,6 +126,27 @@ def test_multiplicative_and_missing(spark):
     assert "missing values" in errors["gap"] and "positive" in errors["neg"]
 
 
+def test_multiplicative_series_above_the_bound_of_a_task(spark, monkeypatch):
+    """Values carried from batch to batch give the fit of the whole series; faults stay error rows."""
+    t = np.arange(260)
+    y = (50 + 0.5 * t) * (1 + 0.3 * np.sin(2 * np.pi * t / 12)) * np.exp(np.random.default_rng(0).normal(0, 0.02, 260))
+    gap = y.copy()
+    gap[5] = np.nan
+    series = {"y": y, "z": y[::-1].copy(), "gap": gap, "neg": y - 60, "short": y[:80]}
+    p = make_panel(spark, series, "2001-01-01", "MS")
+    monkeypatch.setattr(E, "SERIES_ROWS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for kinds in ({"error": "mul", "seasonal": "mul"}, {"error": "add", "trend": "mul", "seasonal": None}):
+            want = E.ets(p, 12, **kinds).toPandas().sort_values(["series_id", "step_no"])
+            got = E.ets(blocked(p, 365), 12, **kinds).toPandas().sort_values(["series_id", "step_no"])
+            assert got["error"].tolist() == want["error"].tolist() and want["error"].notna().sum() == 2
+            for c in ("yhat", "lo80", "hi95"):
+                np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_additive(spark, small_pieces):
     y = wave(730, 100, 0.05, 6, 7, 2, seed=5)
     gap = y.copy()
