@@ -28,8 +28,9 @@ def perspectives(
     Columns: the conversation, ``speaker``, ``block``, ``n_turns``, ``text``, ``start`` (characters
     before this block) and ``mask``: the spans ``(start, stop)`` within the whole rendering that the
     speaker is trained on, its texts and their closing marks. A block holds ``block_turns`` turn
-    numbers, so a row stays bounded however long a conversation grows; the texts of its blocks, in
-    order, are the rendering. Usual conversations have one block.
+    numbers, so a row stays bounded however long a conversation grows, unless very many of its turns share
+    a number or have none: these share a block. The texts of its blocks, in order, are the rendering. Usual
+    conversations have one block.
 
     Turns with the same number (or none; these come first, in block -1) are ordered by speaker and
     text, repeated rows are repeated turns, a null text is empty, a null speaker is called
@@ -50,9 +51,10 @@ def perspectives(
     own = F.col("name") == F.col("speaker")
     role = F.when(own, "assistant").when(F.col("name").isin(*narrators), F.col("name"))
     head = F.concat(F.lit(OPEN), F.coalesce(role, F.concat(F.lit("user name="), "name")), F.lit("\n"))
-    seen = said.join(people, F.col("c").eqNullSafe(F.col("pc")))
-    line = F.struct("t", "name", "body", head.alias("head"), own.alias("own"))
-    blocks = seen.groupBy("c", "speaker", "block").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    # A struct that is never null, so that blocks without a conversation are joined like others.
+    seen = said.join(people, F.col("c").eqNullSafe(F.col("pc"))).withColumns({"k": F.struct("c"), "head": head})
+    line = F.struct("t", "name", "body", "head", own.alias("own"))
+    blocks = seen.groupBy("k", "speaker", "block").agg(F.sort_array(F.collect_list(line)).alias("lines"))
 
     def rendered(x: Column) -> Column:
         return F.concat(x["head"], x["body"], F.lit(CLOSE + "\n"))
@@ -69,16 +71,20 @@ def perspectives(
         F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans")
     )
     walked = blocks.select(
-        "c",
+        "k",
         "speaker",
         "block",
         F.size("lines").cast("long").alias("n_turns"),
         F.array_join(F.transform("lines", rendered), "").alias("text"),
         F.aggregate("lines", nothing, walk).alias("end"),
     )
-    order = Window.partitionBy("c", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = walked.withColumn("start", F.coalesce(F.sum("end.at").over(order), F.lit(0).cast("long")))
+    # The blocks of a conversation meet as numbers only; their texts stay where they were rendered.
+    size = F.char_length("head") + F.char_length("body") + F.lit(len(CLOSE) + 1)
+    sizes = seen.groupBy("k", "speaker", "block").agg(F.sum(size).alias("size"))
+    order = Window.partitionBy("k", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("k", "speaker", "block", F.coalesce(F.sum("size").over(order), F.lit(0).cast("long")).alias("start"))
+    placed = walked.join(starts.hint("merge"), ["k", "speaker", "block"])
     moved = F.transform(
         "end.spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["stop"] + F.col("start")).alias("stop"))
     )
-    return placed.select(F.col("c").alias(conv_col), "speaker", "block", "n_turns", "text", "start", moved.alias("mask"))
+    return placed.select(F.col("k.c").alias(conv_col), "speaker", "block", "n_turns", "text", "start", moved.alias("mask"))

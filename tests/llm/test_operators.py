@@ -456,3 +456,27 @@ def test_native_chat_plan(spark):
     df = spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string")
     plan = perspectives(df.withColumn("role", F.upper("role")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_only_numbers_meet_across_the_blocks_of_a_conversation(spark):
+    """No window sees a text; blocks of a null conversation and of turns without number find their start."""
+    turns = [(c, t, "ab"[k % 2], f"text {k} é") for c in (None, 1) for k, t in enumerate([None, None, *range(40), 3, 3])]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = perspectives(df, block_turns=7)
+    assert not {"text", "lines", "body", "end"} & set(columns_under_windows(got._jdf.queryExecution().optimizedPlan()))
+    for c in (None, 1):
+        for who in "ab":
+            mine = sorted((r for r in got.collect() if (r.conv_id, r.speaker) == (c, who)), key=lambda r: r.block)
+            assert [r.block for r in mine] == [-1, *range(6)] and sum(r.n_turns for r in mine) == 44
+            assert [r.start for r in mine] == [sum(len(q.text) for q in mine[:k]) for k in range(len(mine))]
+            whole = "".join(r.text for r in mine)
+            assert all(whole[s.start : s.stop].endswith("é<|im_end|>") for r in mine for s in r.mask)
+
+
+def columns_under_windows(plan):
+    children = [plan.children().apply(k) for k in range(plan.children().size())]
+    if plan.nodeName() == "Window":
+        out = children[0].output()
+        yield from (out.apply(k).name() for k in range(out.size()))
+    for child in children:
+        yield from columns_under_windows(child)
