@@ -238,7 +238,8 @@ def true_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, si
     nodes: ``a, b, key_a, key_b, cluster, blocks``; the key is that of a row that has the class's set.
     """
     keyed = docs.select(*row_key(id_col, text_col), body(text_col).alias("body"))
-    texts = keyed.join(nodes.hint("merge"), ["key_a", "key_b"])  # grows with the corpus: never broadcast
+    # Grows with the corpus: never broadcast. Repeated rows share their key, and one of them has the set.
+    texts = keyed.join(nodes.hint("merge"), ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

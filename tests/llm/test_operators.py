@@ -284,6 +284,25 @@ def test_near_dedup_split_into_blocks(spark, monkeypatch):
     assert counted((r.doc_id, r.n_shingles, r.component_id) for r in got) == counted(brute_near(docs))
 
 
+def test_repeated_rows_give_one_set(spark, monkeypatch):
+    """Rows that agree in id and text come to the block of their cluster once, not n times."""
+    words = [f"w{k}" for k in range(60)]
+    docs = [(None, " ".join(words))] * 40 + [(1, " ".join([*words[:-1], "x"]))]
+    seen = []
+
+    def only_once(made):
+        seen.append(made.groupBy("a", "b").count().agg(F.max("count")).first()[0])
+        return dealt(made)
+
+    dealt = near_dedup.in_block_pairs
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(near_dedup, "in_block_pairs", lambda x: only_once(x) if "members" in x.columns else dealt(x))
+        got = near_groups(df).collect()
+    assert seen == [1]
+    assert counted((r.doc_id, r.n_shingles, r.component_id) for r in got) == counted(brute_near(docs))
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(3, 1), (1, 3), (5, 5), (None, 7), (9, 8), (8, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
