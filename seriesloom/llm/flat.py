@@ -83,13 +83,13 @@ class SpanHash:
         return mix((self.sums[stop] - self.sums[start]) * self.back[start] ^ mix(length + np.uint64(1)))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of the words (runs without ASCII white space) and each row's first word.
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the words (runs without a byte of ``apart``: ASCII white space) and each row's first word.
 
     ``first`` has n + 1 entries: the words of row i are ``first[i]:first[i + 1]``. Words never
     cross rows.
     """
-    inside = ~SPACE[data]
+    inside = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -110,6 +110,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return SpanHash(data)(start, stop), first
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on (zeros behind the end) as one number each; a view, not a copy."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether ``data[start:start + length]`` equals ``other[at:at + length]``, span by span."""
+    mine, theirs = eights(data), eights(other)
+    same = np.ones(len(start), bool)
+    for k in range(0, int(length.max(initial=0)), 8):
+        todo = np.flatnonzero(same & (length > k))
+        left = np.minimum(length[todo] - k, 8).astype(np.uint64)
+        unlike = (mine[start[todo] + k] ^ theirs[at[todo] + k]) << (np.uint64(64) - np.uint64(8) * left)
+        same[todo] = unlike == 0
+    return same
+
+
 def grams(word: np.ndarray, first: np.ndarray, size: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and first word of every run of ``size`` words within a row.
 

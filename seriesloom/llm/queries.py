@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm.chat import perspectives
+from seriesloom.llm.collocations import collocations
 from seriesloom.llm.decontaminate import leaks
 from seriesloom.llm.exact_dedup import exact_groups
 from seriesloom.llm.language import language_of
+from seriesloom.llm.lexical import ranked
 from seriesloom.llm.line_dedup import drop_common_lines
 from seriesloom.llm.near_dedup import near_groups
 from seriesloom.llm.quality import fold, quality_scores
 from seriesloom.llm.repeats import without_repeats
 from seriesloom.llm.sentencepiece_codec import encoded_digests
 from seriesloom.llm.session import documents
+from seriesloom.llm.sharding import shards
 from seriesloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +146,105 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation from the perspective of each participant."""
     spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"], s["stop"]))
     return perspectives(documents(spark, folder, "conversations")).withColumn("mask", F.array_join(spans, ","))
+
+
+@query(
+    "op11_lexical_search",
+    r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS d,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sizes AS (SELECT d, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0),
+total AS (SELECT count(*) AS dn, CAST(sum(n) AS BIGINT) AS ln FROM sizes),
+held AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) AS x GROUP BY ALL),
+asked AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) AS x),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * dn + 2) / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term) AS x, total),
+norms AS (SELECT d, doc_id, 100 - 50 + ((50 * n * dn) // ln) AS m FROM sizes, total),
+scored AS (
+  SELECT item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN norms USING (d) GROUP BY ALL),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ordered WHERE rank <= 50""",
+)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return ranked(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
+@query(
+    "op12_collocations",
+    r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+pieces AS (SELECT d, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM texts),
+parts AS (SELECT d, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+said AS (SELECT d, lang, p, unnest(words) AS w1, generate_subscripts(words, 1) AS spot FROM parts),
+seen AS (SELECT lang, w1, lead(w1) OVER g AS w2, lead(w1, 2) OVER g AS w3 FROM said WINDOW g AS (PARTITION BY d, p ORDER BY spot)),
+one AS (SELECT lang, w1, count(*) AS f FROM seen GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS f FROM seen WHERE w2 IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM seen WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(f) AS n FROM one GROUP BY lang),
+around AS (
+  SELECT lang, w1, w2, max(f) AS more
+  FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) AS edges GROUP BY ALL),
+cuts AS (
+  SELECT two.lang, two.w1 || ' ' || two.w2 AS phrase, two.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM two JOIN one AS x ON x.lang = two.lang AND x.w1 = two.w1 JOIN one AS y ON y.lang = two.lang AND y.w1 = two.w2
+       LEFT JOIN around AS o ON o.lang = two.lang AND o.w1 = two.w1 AND o.w2 = two.w2
+  WHERE two.f >= 10 AND (o.more IS NULL OR 100 * o.more < 50 * two.f)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, x.f, y.f
+  FROM three AS t JOIN one AS x ON x.lang = t.lang AND x.w1 = t.w1 JOIN two AS y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f
+  FROM three AS t JOIN two AS x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one AS y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases of two and three words whose parts belong together most, per language."""
+    return collocations(documents(spark, folder))
+
+
+@query(
+    "op13_sharding",
+    """
+WITH RECURSIVE crcs AS (
+  SELECT range AS i, range::UBIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM crcs WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crcs WHERE k = 8),
+texts AS (SELECT DISTINCT coalesce(text, '') AS body FROM documents),
+summed AS (
+  SELECT body, xor(4294967295::UBIGINT, list_reduce(
+      list_prepend(4294967295::UBIGINT,
+                   list_transform(range(octet_length(encode(body))),
+                                  lambda k: ('0x' || substr(hex(encode(body)), 2 * k + 1, 2))::UBIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) % 256)::INT + 1]))) AS crc FROM texts, crc_table),
+records AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, coalesce(text, '') AS body FROM documents),
+placed AS (
+  SELECT *, sum(size) OVER w - size AS before, row_number() OVER w - 1 AS spot, sum(size) OVER () AS total,
+         sum(size) OVER (PARTITION BY body) AS whole
+  FROM records WINDOW w AS (ORDER BY md5(body), md5(CAST(doc_id AS VARCHAR)))),
+started AS (SELECT *, min(before) OVER (PARTITION BY body) AS start FROM placed),
+dealt AS (
+  SELECT *, CAST(least(7, (8 * CASE WHEN whole * 8 <= 0.02 * total THEN 2 * start + whole ELSE 2 * before + size END) // (2 * total)) AS INTEGER) AS shard
+  FROM started)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(spot - min(spot) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt JOIN summed USING (body)""",
+)
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in one of eight shards of near equal bytes."""
+    return shards(documents(spark, folder))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.lineage import shared_folder
@@ -19,20 +19,44 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str = "table", by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str = "table", by: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """Write a table to the folder all executors share and go on from the files.
 
     Cuts the lineage, like a checkpoint, but stays columnar and compressed. A lost executor costs
-    nothing that was written.
+    nothing that was written. codec: compression of the files, the session's if None.
     """
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     writer = df.write
     if by:
         writer = writer.partitionBy(*by)
+    if codec:
+        writer = writer.option("compression", codec)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    marker = f"{shared_folder(spark)}/llm-"
+    for folder in {f.split("/llm-", 1)[1].split("/", 1)[0] for f in table.inputFiles() if "/llm-" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{marker}{folder}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def leading(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every group in the given order, numbered from 1 in the column ``rank``.
+
+    Groups are cut in buckets of tasks first and then as a whole, so no task holds more than k rows of each of about
+    sqrt(tasks) buckets, however large a group is.
+    """
+    buckets = max(1, round(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    dealt = df.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(buckets)))
+    first = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    some = dealt.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= k).drop("_bucket")
+    return some.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
+
+
 def body(text: str) -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
