@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import EVENTS_RAW, Tables, in_blocks, ntz, orders_by, query, r
+from seriesloom.functions.order import order_statistics
 from seriesloom.operators import anomaly as A
 from seriesloom.operators.additive import additive
 from seriesloom.operators.conformal import conformal
@@ -197,3 +198,21 @@ def _(t: Tables):
 def _(t: Tables):
     """Business days have no seasonal period."""
     return resolve_period(_workdays(t)).select("series_id", "period", "fell_back")
+
+
+# Neighbours of powers of two and of each other: what rounding logarithms or histograms would put in the wrong order.
+_NEAR = "power(2.0, (l_orderkey % 41) - 20) * (1 + ((l_partkey % 5) - 2) * power(2.0, -52)) * CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE 1 END"
+
+
+@query(
+    "order_statistics_near_powers_of_two",
+    f"""SELECT series_id, max(v) FILTER (k = 1) AS least, max(v) FILTER (k = n // 4) AS quarter, max(v) FILTER (k = n // 2) AS half,
+max(v) FILTER (k = n) AS most FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY v) AS k, count(*) OVER (PARTITION BY series_id) AS n
+FROM (SELECT l_returnflag AS series_id, {_NEAR} AS v FROM lineitem)) GROUP BY series_id""",
+)
+def _(t: Tables):
+    """Exact ranks where values differ in the last bit only."""
+    values = t.table("lineitem").select(F.col("l_returnflag").alias("series_id"), F.expr(_NEAR).alias("v"))
+    n = F.col("_n")
+    ranks = {"least": F.lit(1), "quarter": F.floor(n / 4), "half": F.floor(n / 2), "most": n}
+    return order_statistics(values, ["series_id"], "v", ranks).drop("_n")

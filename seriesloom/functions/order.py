@@ -40,20 +40,36 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+def _binary(size: Column) -> tuple[Column, Column]:
+    """Exponent and fraction (0 to below 1) of a positive double, exactly; zero and infinity have fraction 0.
+
+    The logarithm may be rounded up to the next integer just below a power of two, and down just above: powers of
+    two themselves are exact, so comparing with them sets the exponent right.
+    """
+    finite = (size > 0) & (size < F.lit(float("inf")))
+    some = F.when(finite, size).otherwise(F.lit(1.0))
+    guess = F.floor(F.log2(some)).cast("double")
+    exponent = (
+        guess
+        - F.when(F.pow(F.lit(2.0), guess) > some, F.lit(1.0)).otherwise(F.lit(0.0))
+        + F.when(F.pow(F.lit(2.0), guess + 1) <= some, F.lit(1.0)).otherwise(F.lit(0.0))
+    )
+    fraction = some / F.pow(F.lit(2.0), exponent) - 1
+    return F.when(size == F.lit(float("inf")), F.lit(1024.0)).otherwise(exponent), fraction
+
+
 def coarse(value: Column) -> Column:
-    """A monotone, coarse key of a double: sign, exponent and about 13 bits of mantissa."""
+    """A monotone, coarse key of a double: sign, exponent and 13 bits of mantissa."""
     size = F.abs(value)
-    exponent = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
-    mantissa = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 8192)
-    key = (exponent + 1100) * 16384 + F.greatest(F.least(mantissa, F.lit(16383)), F.lit(0))
+    exponent, fraction = _binary(size)
+    key = (exponent + 1100) * 16384 + F.floor(fraction * 8192)
     return F.when(size == 0, F.lit(0)).when(value > 0, key).otherwise(-key).cast("bigint")
 
 
 def _digit(value: Column, level: int) -> Column:
     """The ``level``-th group of 13 mantissa bits below :func:`coarse`; monotone among values that agree above it."""
     size = F.abs(value)
-    exponent = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
-    fraction = size / F.pow(F.lit(2.0), exponent) - 1
+    _, fraction = _binary(size)
     digit = F.pmod(F.floor(fraction * F.lit(8192.0 ** (level + 1))), F.lit(8192))
     return F.when(size == 0, F.lit(0)).when(value > 0, digit).otherwise(8191 - digit).cast("bigint")
 

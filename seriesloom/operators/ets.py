@@ -9,6 +9,7 @@ yields its form and its state map, and a fold over those few matrices gives the
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from statistics import NormalDist
@@ -25,6 +26,9 @@ from seriesloom.operators.grid import future_grid, period_of, steps_of
 from seriesloom.sources.panel import SERIES_ROWS, is_bounded, with_pos
 
 Z80, Z95 = NormalDist().inv_cdf(0.90), NormalDist().inv_cdf(0.975)
+# Simulated paths per series, and the quantiles taken of them.
+PATHS, BOUNDS = 10_000, (0.025, 0.1, 0.9, 0.975)
+GAPS = "ValueError: smoothing cannot run over missing values; fill them or drop them before the fit."
 
 # Search space per parameter: first grid, then steps halved around the best point.
 _LEVELS = {"alpha": (0.02, 0.1, 0.3, 0.6, 0.9), "beta": (0.005, 0.1, 0.5), "gamma": (0.005, 0.1, 0.5), "phi": (0.0, 0.5, 1.0)}
@@ -187,6 +191,24 @@ def _start_values(y: np.ndarray, m: int, trend: str | None, seasonal: str | None
     return head, (later - first) / span if trend else 0.0, season
 
 
+def _ahead(level, slope, s, phi, trend: str | None, seasonal: str | None):
+    """One step ahead: the damped slope, the level without season, and the mean."""
+    damped = slope**phi if trend == "mul" else phi * slope
+    ahead = level * damped if trend == "mul" else level + (damped if trend else 0.0)
+    return damped, ahead, ahead if s is None else (ahead * s if seasonal == "mul" else ahead + s)
+
+
+def _moved(raw, damped, ahead, s, alpha, beta, gamma, trend: str | None, seasonal: str | None):
+    """Level, slope and season after a value that was ``raw`` off the mean."""
+    gain = raw / s if s is not None and seasonal == "mul" else raw  # the error in units of the level
+    level, slope = ahead + alpha * gain, damped
+    if trend == "mul":
+        slope = damped + beta * gain / np.maximum(np.abs(ahead), 1e-12)
+    elif trend:
+        slope = damped + beta * gain
+    return level, slope, None if s is None else s + gamma * (raw / ahead if seasonal == "mul" else raw)
+
+
 class _Fold:
     """Recursions with multiplicative parts, vectorised over candidates; takes a series stretch by stretch."""
 
@@ -202,22 +224,15 @@ class _Fold:
         m, (error, trend, seasonal) = self.m, self.kinds
         level, slope, season, squares, logs = self.level, self.slope, self.season, self.squares, self.logs
         for i, value in enumerate(y, self.n):
-            damped = slope**phi if trend == "mul" else phi * slope
-            ahead = level * damped if trend == "mul" else level + (damped if trend else 0.0)
             s = season[:, i % m] if m else None
-            mean = ahead if s is None else (ahead * s if seasonal == "mul" else ahead + s)
+            damped, ahead, mean = _ahead(level, slope, s, phi, trend, seasonal)
             raw = value - mean
             e = raw / mean if error == "mul" else raw
             squares += e * e
             logs += np.log(np.abs(mean)) if error == "mul" else 0.0
-            gain = raw / s if m and seasonal == "mul" else raw  # the error in units of the level
-            level = ahead + alpha * gain
-            if trend == "mul":
-                slope = damped + beta * gain / np.maximum(np.abs(level - alpha * gain), 1e-12)
-            elif trend:
-                slope = damped + beta * gain
+            level, slope, moved = _moved(raw, damped, ahead, s, alpha, beta, gamma, trend, seasonal)
             if s is not None:
-                season[:, i % m] = s + gamma * (raw / ahead if seasonal == "mul" else raw)
+                season[:, i % m] = moved
         self.level, self.slope = level, slope
         self.n += len(y)
 
@@ -274,7 +289,7 @@ def _fit_kernel(error: str, trend: str | None, seasonal: str | None, damped: boo
         try:
             y = pdf["y"].to_numpy(float)
             if np.isnan(y).any():
-                raise ValueError("ets does not handle missing values — drop or interpolate them first.")
+                raise ValueError(GAPS.removeprefix("ValueError: "))
             if additive:
                 row.update(fit_values(y, m, trend is not None, damped, fixed))
             else:
@@ -408,7 +423,7 @@ def fit_pieces(rows: DataFrame, trend: bool, damped: bool, seasonal: bool, fixed
     )
     gaps = scale.where(F.col("_missing") > 0).select(
         "series_id",
-        F.lit("ValueError: ets does not handle missing values — drop or interpolate them first.").alias("error"),
+        F.lit(GAPS).alias("error"),
     )
     # Every round reads the rows again, and each depends on the one before: both are cut off here.
     cut = checkpoint(pieces(rows).join(scale.where(F.col("_missing") == 0).drop("_missing"), "series_id"))
@@ -522,7 +537,7 @@ def fit_streamed(
             F.max("n").alias("n"),
             (F.coalesce(F.max("period"), F.lit(0)) if seasonal else F.lit(0)).alias("m"),
             F.bool_or("fell_back").alias("fell_back"),
-            F.when(F.count_if(bad) > 0, "ValueError: ets does not handle missing values — drop or interpolate them first.")
+            F.when(F.count_if(bad) > 0, GAPS)
             .when(F.count_if(F.col("y") <= 0) > 0, "ValueError: multiplicative components need strictly positive values.")
             .alias("error"),
         )
@@ -575,10 +590,59 @@ def _variance_growth(h: Column, m: Column) -> Column:
     return F.when(phi < 1, damped).otherwise(linear)
 
 
+def simulated_bounds(
+    row: dict, horizon: int, kinds: tuple[str, str | None, str | None], paths: int = PATHS
+) -> np.ndarray:
+    """Quantiles of simulated paths, one row per step: the bounds ``lo95, lo80, hi80, hi95``.
+
+    The errors are counter-based normals, keyed by the series and counted by step and path: a series has the same
+    paths in every run, whatever else is forecast with it. Only the states of one step are held at a time.
+    """
+    error, trend, seasonal = kinds
+    m = len(row["season"]) if row["season"] is not None else 0
+    level, slope = np.full(paths, row["level"], float), np.full(paths, row["slope"] if row["slope"] is not None else 0.0, float)
+    season = np.tile(np.array(row["season"], float), (paths, 1)) if m else None
+    key = int.from_bytes(hashlib.blake2b(str(row["series_id"]).encode(), digest_size=16).digest(), "little")
+    sigma, out = math.sqrt(row["sigma2"]), np.empty((horizon, len(BOUNDS)))
+    with np.errstate(all="ignore"):
+        for h in range(horizon):
+            normal = np.random.Generator(np.random.Philox(key=key, counter=[0, 0, h, 0])).standard_normal(paths)
+            at = (row["n"] + h) % m if m else 0
+            s = season[:, at] if m else None
+            damped, ahead, mean = _ahead(level, slope, s, row["phi"], trend, seasonal)
+            raw = sigma * normal * (mean if error == "mul" else 1.0)
+            out[h] = np.quantile(mean + raw, BOUNDS)
+            level, slope, moved = _moved(raw, damped, ahead, s, row["alpha"], row["beta"], row["gamma"], trend, seasonal)
+            if m:
+                season[:, at] = moved
+    return out
+
+
+def path_bounds(fit: DataFrame, grid: DataFrame, kinds: tuple[str, str | None, str | None], paths: int = PATHS) -> DataFrame:
+    """Simulated bounds for every step of every series: ``series_id, step_no, lo95, lo80, hi80, hi95``."""
+    names = ["series_id", "n", "season", "level", "slope", "alpha", "beta", "gamma", "phi", "sigma2"]
+    longest = grid.groupBy("series_id").agg(F.max("step_no").alias("horizon"))
+    asked = fit.where(F.col("error").isNull()).select(*names).join(longest, "series_id")
+
+    def simulate(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                found = simulated_bounds(row, int(row["horizon"]), kinds, paths)
+                made = pd.DataFrame(found, columns=["lo95", "lo80", "hi80", "hi95"])
+                yield made.assign(series_id=row["series_id"], step_no=np.arange(1, len(found) + 1))
+
+    made = "series_id string, step_no int, lo95 double, lo80 double, hi80 double, hi95 double"
+    return spread(asked, "series_id").mapInPandas(simulate, made)
+
+
 def predict_ets(
-    fit: DataFrame, grid: DataFrame, trend: str | None = "add", seasonal: str | None = "add", error: str = "add"
+    fit: DataFrame, grid: DataFrame, trend: str | None = "add", seasonal: str | None = "add", error: str = "add", paths: int = PATHS
 ) -> DataFrame:
-    """Join each future step to its series' fit: point forecast and 80/95 % bounds by formula."""
+    """Join each future step to its series' fit: point forecast and 80/95 % bounds.
+
+    Additive models have a closed variance, so their bounds are a formula. With any multiplicative part there is none, and
+    the bounds are quantiles of ``paths`` simulated paths per series.
+    """
     h = F.col("step_no")
     m = F.coalesce("period", F.lit(0))
     steps = F.when(F.col("phi") < 1, ratio(F.col("phi") * (1 - F.pow("phi", h)), 1 - F.col("phi"))).otherwise(
@@ -590,10 +654,14 @@ def predict_ets(
     else:
         base = F.col("level") + F.col("slope") * steps
     mean = base * F.coalesce(season, F.lit(1.0)) if seasonal == "mul" else base + F.coalesce(season, F.lit(0.0))
-    spread = F.sqrt(F.col("sigma2") * (1 + _variance_growth(h, m)))
-    if error == "mul":
-        spread = spread * F.abs(mean)
-    out = grid.join(fit.where(F.col("error").isNull()), "series_id").withColumn("yhat", mean).withColumn("_w", spread)
+    out = grid.join(fit.where(F.col("error").isNull()), "series_id").withColumn("yhat", mean)
+    kinds = (error, trend, seasonal)
+    if "mul" in kinds:
+        out = out.join(path_bounds(fit, grid, kinds, paths), ["series_id", "step_no"])
+    else:
+        width = F.sqrt(F.col("sigma2") * (1 + _variance_growth(h, m)))
+        for level, z in (("80", Z80), ("95", Z95)):
+            out = out.withColumn(f"lo{level}", F.col("yhat") - z * width).withColumn(f"hi{level}", F.col("yhat") + z * width)
     meta = F.create_map(
         F.lit("error"), F.lit(error),
         F.lit("trend"), F.lit(trend or "none"),
@@ -609,10 +677,10 @@ def predict_ets(
         "step_no",
         "ts",
         "yhat",
-        (F.col("yhat") - Z80 * F.col("_w")).alias("lo80"),
-        (F.col("yhat") + Z80 * F.col("_w")).alias("hi80"),
-        (F.col("yhat") - Z95 * F.col("_w")).alias("lo95"),
-        (F.col("yhat") + Z95 * F.col("_w")).alias("hi95"),
+        "lo80",
+        "hi80",
+        "lo95",
+        "hi95",
         meta.alias("metadata"),
         F.lit(None).cast("string").alias("error"),
     )

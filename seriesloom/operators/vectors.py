@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 from seriesloom.functions.lineage import checkpoint
 from seriesloom.plans.diagnosis import digest, full_diagnosis
 
-# Words of the digest that the default embedder counts.
-VOCABULARY = ("daily", "non-stationary", "seasonality", "flagged", "skipped")
+# Words by which digests differ: frequency, strength of the season, anomalies, stationarity, gaps.
+VOCABULARY = (
+    "hourly", "daily", "weekly", "monthly", "irregular", "strong", "moderate", "weak", "no significant seasonality",
+    "anomal", "no anomalies", "non-stationary", "stationary", "second differencing", "skipped", "missing", "no missing values",
+)
 # The limits of k.
 DEFAULT_K, MAX_K = 5, 50
 

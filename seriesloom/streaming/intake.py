@@ -19,9 +19,14 @@ def finished_jobs(spark: SparkSession, out: str) -> DataFrame | None:
 
 def _written(spark: SparkSession, folder: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
         return None
-    return spark.read.parquet(folder)
+    found = files.listFiles(path, True)
+    while found.hasNext():  # batches without any row leave folders without a data file
+        if found.next().getPath().getName().startswith("part-"):
+            return spark.read.parquet(folder)
+    return None
 
 
 def job_states(spark: SparkSession, out: str) -> DataFrame | None:

@@ -126,6 +126,69 @@ def test_multiplicative_and_missing(spark):
     assert "missing values" in errors["gap"] and "positive" in errors["neg"]
 
 
+STATE = dict(series_id="s", n=40, season=None, level=100.0, slope=1.02, alpha=0.5, beta=0.2, gamma=0.0, phi=1.0, sigma2=0.02**2)
+
+
+def test_simulated_bounds_of_a_growing_trend():
+    """Known quantiles of 200,000 independent paths with error and trend multiplicative."""
+    got = E.simulated_bounds(STATE, 30, ("mul", "mul", None))
+    assert got[29, 0] == pytest.approx(79.5, rel=0.05) and got[29, 3] == pytest.approx(408.1, rel=0.05)
+    assert (np.diff(got, axis=1) > 0).all()
+    assert (got == E.simulated_bounds(STATE, 30, ("mul", "mul", None))).all()
+    assert (got != E.simulated_bounds(STATE | {"series_id": "t"}, 30, ("mul", "mul", None))).any()
+
+
+@pytest.mark.parametrize("season", [None, [3.0, -1.0, 0.5, -2.5]])
+def test_simulated_bounds_equal_the_formula_of_the_additive_model(spark, season):
+    row = STATE | dict(slope=0.4, beta=0.1, gamma=0.2, phi=0.9, sigma2=2.0, season=season)
+    got = E.simulated_bounds(row, 12, ("add", "add", "add"), paths=200_000)
+    fit = spark.createDataFrame([("s", 40, len(season) if season else None, False, 0.5, 0.1, 0.2, 0.9, 100.0, 0.4, season, 1.0, 2.0, 3.0, None)], f"series_id string, {E.FIT}")
+    grid = spark.range(1, 13).select(F.lit("s").alias("series_id"), F.col("id").cast("int").alias("step_no"), F.lit(None).cast("timestamp").alias("ts"))
+    want = E.predict_ets(fit, grid).orderBy("step_no").toPandas()[["lo95", "lo80", "hi80", "hi95"]].to_numpy()
+    width = (want[:, 3] - want[:, 0])[:, None]
+    assert (np.abs(got - want) < 0.01 * width).all()
+
+
+@pytest.mark.parametrize("kinds", [("mul", "mul", "mul"), ("add", "add", "mul"), ("mul", "add", "add")])
+def test_coverage_of_multiplicative_intervals(spark, kinds):
+    """Values that follow the model fall into the 80 and 95 % intervals about as often as they should."""
+    rng = np.random.default_rng(5)
+    m, ahead, count = 4, 6, 400
+    sigma = 0.03 if kinds[0] == "mul" else 2.0
+    inside = np.zeros(2)
+    rows = []
+    for k in range(count):
+        season = np.array([1.1, 0.9, 1.05, 0.95]) if kinds[2] == "mul" else np.array([5.0, -5.0, 2.0, -2.0])
+        rows.append(STATE | dict(series_id=f"s{k}", season=season.tolist(), slope=1.01 if kinds[1] == "mul" else 0.5, gamma=0.1, sigma2=sigma**2))
+    row = rows[0]
+    level, slope = (np.full(count, row[c]) for c in ("level", "slope"))
+    season = np.tile(np.array(row["season"]), (count, 1))
+    made = []
+    for h in range(ahead):
+        s = season[:, (row["n"] + h) % m]
+        damped = slope  # phi = 1
+        base = level * damped if kinds[1] == "mul" else level + damped
+        mean = base * s if kinds[2] == "mul" else base + s
+        raw = sigma * rng.normal(size=count) * (mean if kinds[0] == "mul" else 1)
+        made.append(mean + raw)
+        gain = raw / s if kinds[2] == "mul" else raw
+        level = base + 0.5 * gain
+        slope = damped + 0.2 * gain / (base if kinds[1] == "mul" else 1)
+        season[:, (row["n"] + h) % m] = s + 0.1 * (raw / base if kinds[2] == "mul" else raw)
+    fit = spark.createDataFrame(
+        [(r["series_id"], 40, m, False, 0.5, 0.2, 0.1, 1.0, r["level"], r["slope"], r["season"], 1.0, r["sigma2"], 3.0, None) for r in rows],
+        f"series_id string, {E.FIT}",
+    )
+    steps = spark.range(1, ahead + 1).select(F.col("id").cast("int").alias("step_no"), F.lit(None).cast("timestamp").alias("ts"))
+    grid = fit.select("series_id").join(F.broadcast(steps))
+    out = E.predict_ets(fit, grid, kinds[1], kinds[2], kinds[0], paths=2000).toPandas()
+    out["k"] = out["series_id"].str[1:].astype(int)
+    true = np.array(made)[out["step_no"] - 1, out["k"]]
+    for n, level_ in enumerate(("80", "95")):
+        inside[n] = ((true >= out[f"lo{level_}"]) & (true <= out[f"hi{level_}"])).mean()
+    assert inside[0] == pytest.approx(0.80, abs=0.03) and inside[1] == pytest.approx(0.95, abs=0.02)
+
+
 def test_multiplicative_series_above_the_bound_of_a_task(spark, monkeypatch):
     """Values carried from batch to batch give the fit of the whole series; faults stay error rows."""
     t = np.arange(260)
