@@ -124,8 +124,9 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
     merge-joins what is left of it by adjacent places.
     """
     listed = relation.select("block", F.posexplode("entries").alias("item", "e")).select("block", "item", "e.a", "e.b")
-    # Both sides grow with the corpus: merged, never broadcast.
-    wanted = listed.join(kept.select("a", "b", "id").hint("merge"), ["a", "b"]).select(F.col("block").alias("home"), "item", "id")
+    # Both sides grow with the corpus and are shuffled, never broadcast. A phrase is listed once and is in the lists of many
+    # blocks, so these need no sorting: a partition's frequent phrases are hashed.
+    wanted = listed.join(kept.select("a", "b", "id").hint("shuffle_hash"), ["a", "b"]).select(F.col("block").alias("home"), "item", "id")
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
