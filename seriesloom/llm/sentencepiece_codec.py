@@ -6,13 +6,15 @@ prefix of the longest match fits, the position is marked in a bitfield as failed
 shortened, so every position fails at most once.
 
 No piece of such a vocabulary holds a space mark behind another character, so a text falls apart at its
-spaces and each distinct word is encoded once per worker and remembered, up to a bound.
+spaces and each distinct word is encoded once and remembered by its worker, in two generations of bounded size: words seen
+again move to the younger one, the older one goes when that is full.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from seriesloom.llm.session import prepare, row_key
 
 SPACE = "▁"
-REMEMBERED = 200_000
+#: Words of a generation and pairs of pieces that a worker remembers, over all its tasks: about 300 bytes a word and 200 a
+#: pair, 100 MB in all. Longer words (in characters) are not remembered.
+WORDS, PAIRS, LONGEST = 100_000, 200_000, 200
 
 
 def read_pieces(path: str) -> dict:
@@ -35,6 +39,21 @@ def read_pieces(path: str) -> dict:
     return {"pieces": [model.id_to_piece(i) for i in range(n)], "scores": [model.get_score(i) for i in range(n)], "kinds": kinds}
 
 
+def _parts(pieces: list[str]) -> str:
+    """A pattern of the parts of a text that are encoded on their own.
+
+    No token crosses two neighbouring characters that no piece holds side by side. So a text falls apart before space marks, around
+    line ends and tabs that are in no longer piece, and between a letter and a sign that follows no letter in any piece.
+    """
+    inner = {c for p in pieces if len(p) > 1 for c in p}
+    lone = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
+    letters = {c for p in pieces for c in p if c.isalpha() and c < "\u0250"}
+    behind = {b for p in pieces for a, b in zip(p, p[1:]) if a in letters}
+    signs = "".join(re.escape(c) for c in string.punctuation if c not in behind)
+    word = f"{SPACE}*+[{''.join(sorted(letters))}]++(?=[{signs}])|" if letters and signs else ""
+    return (f"[{lone}]|" if lone else "") + f"{word}{SPACE}*[^{SPACE}{lone}]+|{SPACE}+"
+
+
 class Codec:
     def __init__(self, vocabulary: dict) -> None:
         pieces, scores, kinds = vocabulary["pieces"], vocabulary["scores"], vocabulary["kinds"]
@@ -49,11 +68,7 @@ class Codec:
             self.automaton.add_word(p[::-1], len(p))
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
-        # Characters that no longer piece holds part a text as well.
-        inner = {c for p in self.ids if len(p) > 1 for c in p}
-        lone = [c for c in "\n\t\r" if c not in inner]
-        alone = "".join(map(re.escape, lone))
-        self.parts = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.parts = re.compile(_parts(list(self.ids)))
         self.known = _Known(self)
 
     def merged(self, text: str) -> list[str]:
@@ -79,7 +94,7 @@ class Codec:
         pair = (left, right)
         found = self.fits.get(pair)
         if found is None:
-            if len(self.fits) >= REMEMBERED:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             found = self.fits[pair] = self.merged(left + right) == [left, right]
         return found
@@ -94,11 +109,12 @@ class Codec:
                 longest[start] = length
         failed = 0  # bitfield of positions from which no encoding goes on
         out: list[str] = []
+        ids, follows = self.ids, self.follows
         at, length = 0, longest[0] if n else 0
         while at < n:
             end = at + length
             token = word[at:end]
-            if not failed >> end & 1 and (token in self.ids or length == 1) and (not out or self.follows(out[-1], token)):
+            if not failed >> end & 1 and (token in ids or length == 1) and (not out or follows(out[-1], token)):
                 out.append(token)
                 at = end
                 length = longest[at] if at < n else 0
@@ -112,12 +128,14 @@ class Codec:
                 raise ValueError(f"no encoding of {word!r}")
         return out
 
-    def encode(self, word: str) -> list[int]:
-        out: list[int] = []
-        for token in self.tokens(word):
-            known = self.ids.get(token)
-            out += [known] if known is not None else [self.byte[b] for b in token.encode()]
-        return out
+    def encode(self, word: str) -> tuple[list[int], str]:
+        """The ids of a word and what they decode to."""
+        tokens = self.tokens(word)
+        ids = [self.ids.get(t, -1) for t in tokens]
+        if -1 not in ids:
+            return ids, "".join(tokens).replace(SPACE, " ")  # as decode() has it for pieces of text
+        ids = [i for t, known in zip(tokens, ids) for i in ([known] if known >= 0 else [self.byte[b] for b in t.encode()])]
+        return ids, self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Text of a sequence of ids, with the space that encoding puts in front still there."""
@@ -142,24 +160,28 @@ class Codec:
 
     def text(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, the ids joined by commas, and the decoded text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         found = list(map(self.known.__getitem__, self.words(text)))
         decoded = "".join([f[2] for f in found])
         return sum([f[0] for f in found]), ",".join([f[1] for f in found]), decoded[1:]
 
 
 class _Known(dict):
-    """Words already encoded by this worker: number of tokens, ids, decoded text."""
+    """Words already encoded by this worker: number of tokens, ids, decoded text. The younger of two generations."""
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, word: str) -> tuple[int, str, str]:
-        ids = self.codec.encode(word)
-        found = len(ids), ",".join(map(str, ids)), self.codec.decode(ids)
-        self[word] = found
+        found = self.older.get(word)
+        if found is None:
+            ids, decoded = self.codec.encode(word)
+            found = len(ids), ",".join(map(str, ids)), decoded
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -211,9 +233,6 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bo
                     decoded.append(sha(b) if digests else b)
                 columns = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], ["id", "key_a", "key_b", "n_tokens", *names])
-        # The worker may serve other stages next and should not hold words for them.
-        codec.known.clear()
-        codec.fits.clear()
 
     keyed = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     schema = f"id {kind}, key_a long, key_b long, n_tokens long, {names[0]} string, {names[1]} string"
