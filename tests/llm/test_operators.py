@@ -396,18 +396,6 @@ def test_repeats_on_odd_rows(odd, odd_rows, nothing):
     assert without_repeats(nothing).count() == 0
 
 
-def test_repeats_in_a_text_longer_than_a_piece(spark, monkeypatch):
-    from seriesloom.llm import repeats
-
-    monkeypatch.setattr(repeats, "PIECE", 2000)
-    rng = random.Random(1)
-    passage = "".join(rng.choices("abcdef", k=120))
-    text = "".join("".join(rng.choices("abcdef", k=rng.randint(100, 900))) + passage for _ in range(12))
-    docs = [(1, text), (2, text[3000:3300])]
-    got = without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=50).collect()
-    assert counted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(docs, 50)
-
-
 @pytest.mark.parametrize("at_once", [4096, 2])
 def test_repeats_across_the_borders_of_stretches(spark, at_once):
     """The piece size goes to the workers; an anchor that two stretches share is one occurrence."""
