@@ -321,6 +321,31 @@ def test_registry(spark):
             d.pop("twice")
 
 
+def test_a_bad_series_of_a_plugged_in_kernel_fails_alone(spark):
+    def mean(values, horizon):
+        if np.isnan(values).any():
+            raise ArithmeticError("no mean")
+        return pd.DataFrame({"yhat": np.full(horizon - (values[0] > 500), values.mean())})
+
+    R.register("mean", R.per_series("mean", mean), 5, True)
+    try:
+        gap = np.where(np.arange(40) == 7, np.nan, wave(40, 10, seed=3))
+        series = {"a": wave(40, 10, seed=1), "b": wave(40, 20, seed=2), "gap": gap, "short": wave(40, 900, seed=4)}
+        panel = make_panel(spark, series)
+        asked = [(k, k, "mean", n, False) for k, n in (("a", 3), ("b", 5), ("gap", 3), ("short", 4))]
+        requests = spark.createDataFrame(asked, "job_id string, series_id string, model_name string, horizon int, conformal boolean")
+        done = run_jobs(requests, panel)
+        jobs = {r["job_id"]: (r["status"], r["error"]) for r in done.jobs.collect()}
+        assert jobs["a"] == jobs["b"] == ("done", None)
+        assert jobs["gap"] == ("failed", "ArithmeticError: no mean") and jobs["short"][1].startswith("ValueError: the model gave 3 steps of 4")
+        made = {(r["job_id"], r["step_no"]): r["yhat"] for r in done.forecasts.collect()}
+        assert sorted(made) == [("a", 1), ("a", 2), ("a", 3)] + [("b", k) for k in range(1, 6)]
+        assert made["a", 3] == pytest.approx(series["a"].mean()) and made["b", 5] == pytest.approx(series["b"].mean())
+    finally:
+        for d in (R.MODELS, R.FLOORS, R.HANDLES_MISSING, R._TEXT):
+            d.pop("mean")
+
+
 @pytest.fixture(scope="module")
 def batch(spark):
     panel = make_panel(
