@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from seriesloom.catalog.registry import EVENTS_RAW, Tables, in_blocks, ntz, orders_by, query, r
+from seriesloom.catalog.registry import EVENTS_RAW, Tables, events_by, in_blocks, ntz, orders_by, query, r
 from seriesloom.functions.order import order_statistics
 from seriesloom.operators import anomaly as A
 from seriesloom.operators.additive import additive
 from seriesloom.operators.conformal import conformal
 from seriesloom.operators.grid import future_grid, resolve_period
+from seriesloom.operators.registry import per_series
 from seriesloom.plans.diagnosis import full_report
 from seriesloom.plans.jobs import run_jobs
 from seriesloom.sources.panel import to_panel
@@ -216,3 +218,22 @@ def _(t: Tables):
     n = F.col("_n")
     ranks = {"least": F.lit(1), "quarter": F.floor(n / 4), "half": F.floor(n / 2), "most": n}
     return order_statistics(values, ["series_id"], "v", ranks).drop("_n")
+
+
+def _even_mean(values, horizon):
+    """The mean for every step; refuses series with an odd whole sum."""
+    if int(values.sum() // 1) % 2:
+        raise ArithmeticError("odd sum")
+    return pd.DataFrame({"yhat": [values.mean()] * horizon})
+
+
+@query(
+    "plugged_in_forecast",
+    f"""SELECT series_id, CASE WHEN odd THEN 'ArithmeticError: odd sum' END AS error, CASE WHEN NOT odd THEN m END AS yhat,
+CASE WHEN odd THEN 0 ELSE 3 END AS steps FROM (SELECT series_id, floor(sum(y))::BIGINT % 2 = 1 AS odd, round(avg(y), 6) AS m
+FROM ({events_by('day')}) GROUP BY series_id)""",
+)
+def _(t: Tables):
+    """A plugged-in function of one series; where it fails, only that series has an error."""
+    made = per_series("even mean", _even_mean)(t.events("day"), 3)
+    return made.groupBy("series_id").agg(F.max("error").alias("error"), r(F.max("yhat")).alias("yhat"), F.count("step_no").alias("steps"))
