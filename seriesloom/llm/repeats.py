@@ -9,11 +9,18 @@ The classes that share an anchor are sorted by what follows the anchor (a sparse
 common prefixes of neighbours are computed, and a stack scan walks the tree of common-prefix intervals from the deepest
 up. Within an interval the preceding bytes are compared: where extensions to the left differ, the occurrences part
 into the groups of a maximal repeat, each with all its members. Groups that reach the length cover their members.
+
+An anchor with more classes than one task should sort is dealt first. The strings through it begin 0 to length - GRAM bytes before it;
+that range is cut into a few smaller ones. All strings of a range share the bytes between the last beginning and the
+first end, so only classes equal in these can share one of them: they are a group. Classes that agree in every byte
+which the range touches are one in it and, if several, repeated throughout. Groups still too large are cut again, down to ranges of one
+string, where a group is one class; all others are sorted and scanned like a small anchor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +33,10 @@ from seriesloom.llm.session import body, prepare, row_key, stored
 GRAM = 32
 #: Bytes handled at once; positions within it take the lower 21 bits of an anchor's sort key.
 PIECE, POSITION_BITS = 1_000_000, 21
-#: Classes of one anchor that are sorted in one task. Anchors with more go by counted windows.
+#: Classes that are sorted and scanned together. An anchor with more is dealt to smaller groups.
 CLASSES = 4096
+#: Smaller ranges that a range of beginnings is cut into.
+FANOUT = 8
 
 
 def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
@@ -165,6 +174,75 @@ def covers(left: list[bytes], right: list[bytes], length: int) -> list[tuple[int
     return [(m, before, after) for m, (before, after) in reach.items()]
 
 
+def narrower(low: int, high: int) -> list[tuple[int, int]]:
+    """The ranges that a range of beginnings, counted in bytes before the anchor, is cut into."""
+    step = -(-(high - low + 1) // FANOUT)
+    return [(a, min(high, a + step - 1)) for a in range(low, high + 1, step)]
+
+
+def dealt(before: bytes, after: bytes, low: int, high: int, length: int) -> Iterator[tuple[int, ...]]:
+    """``(low, high, group, two halves of the content's hash, bytes before, bytes from the anchor on)`` per smaller range.
+
+    Ranges in which no string of ``length`` bytes fits the text are left out.
+    """
+    for a, b in narrower(low, high):
+        left, right = min(b, len(before)), min(length - a, len(after))
+        if max(a, length - right) > left:
+            continue
+        shared = blake2b(b"%d:" % a + before[:a] + after[: length - b], digest_size=8).digest()
+        whole = blake2b(b"%d:%d:" % (a, left) + before[:left] + after[:right], digest_size=16).digest()
+        yield a, b, *(int.from_bytes(x, "big", signed=True) for x in (shared, whole[:8], whole[8:])), left, right
+
+
+def smaller_groups(around: DataFrame, length: int, classes_at_once: int) -> tuple[DataFrame, DataFrame]:
+    """Deal the classes of large anchors until no group has more than ``classes_at_once``.
+
+    around: one row per class with ``before`` (reversed) and ``after``. Returns the groups to scan (``anchor`` is the group's
+    key, contents cut to its range) and the reaches of classes that are equal throughout a range.
+    """
+    span = length - min(GRAM, length) + 1
+    kinds = {"c1": pa.int64(), "c2": pa.int64(), "low": pa.int32(), "high": pa.int32(), "part": pa.int64()}
+    kinds |= {"u1": pa.int64(), "u2": pa.int64(), "before": pa.int32(), "after": pa.int32()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in ("c1", "c2", "before", "after", "low", "high")))
+            made = [(c1, c2, *part) for c1, c2, *rest in rows for part in dealt(*rest, length)]
+            if made:
+                columns = [pa.array(x, t) for x, t in zip(zip(*made), kinds.values())]
+                yield pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    large = around.where(F.col("m") > classes_at_once).select("c1", "c2", "before", "after")
+    asked = large.withColumns({"low": F.lit(0), "high": F.lit(span - 1)})
+    made = "c1 long, c2 long, low int, high int, part long, u1 long, u2 long, before int, after int"
+    scanned = around.where(F.col("m") <= classes_at_once).select("anchor", "c1", "c2", "before", "after")
+    reaches, width = None, span
+    while True:
+        width = -(-width // FANOUT)
+        rows = stored(asked.mapInArrow(deal, made), "dealt")
+        if rows.isEmpty():
+            break
+        one = F.struct("c1", "c2")
+        contents = stored(
+            rows.groupBy("part", "u1", "u2", "low", "high").agg(F.min(one).alias("first"), F.max(one).alias("last")), "contents"
+        )
+        several = contents.where("first <> last").select("part", "u1", "u2")
+        equal = rows.join(several.hint("merge"), ["part", "u1", "u2"], "left_semi").select("c1", "c2", "before", "after")
+        reaches = equal if reaches is None else reaches.union(equal)
+        if width == 1:  # a group is one content now
+            break
+        sizes = contents.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        open_ = contents.join(sizes.hint("merge"), "part").select("part", "size", "low", "high", "first.c1", "first.c2")
+        small = open_.where(F.col("size") <= classes_at_once).join(large.hint("merge"), ["c1", "c2"])
+        cut = [F.expr("substring(before, 1, high)").alias("before"), F.expr(f"substring(after, 1, {length} - low)").alias("after")]
+        scanned = scanned.union(small.select(F.col("part").alias("anchor"), "c1", "c2", *cut))
+        asked = open_.where(F.col("size") > classes_at_once).join(large.hint("merge"), ["c1", "c2"])
+        asked = asked.select("c1", "c2", "before", "after", "low", "high")
+    if reaches is None:
+        reaches = rows.select("c1", "c2", "before", "after")
+    return scanned, reaches
+
+
 def repeated_spans(
     docs: DataFrame, id_col: str, text_col: str, length: int, classes_at_once: int = CLASSES, piece_bytes: int = PIECE
 ) -> DataFrame:
@@ -207,7 +285,7 @@ def repeated_spans(
     fields = ["place", "left", "right", "anchor", "c1", "c2", "m"]
     # The wanted occurrences grow with the corpus, so they are never broadcast.
     texts = keyed.join(wanted.hint("merge"), ["key_a", "key_b"]).select(
-        "key_a", "body", *[F.col("ones").getField(k).alias(k) for k in fields]
+        "body", *[F.col("ones").getField(k).alias(k) for k in fields]
     )
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,14 +295,13 @@ def repeated_spans(
                 one = {k: batch.column(k)[r].as_py() for k in fields}
                 before = [text[p - n : p][::-1] for p, n in zip(one["place"], one["left"])]
                 after = [text[p : p + n] for p, n in zip(one["place"], one["right"])]
-                owner = [batch.column("key_a")[r].as_py()] * len(after)
-                columns = [pa.array(x, pa.int64()) for x in (*(one[k] for k in names), owner, one["place"])]
+                columns = [pa.array(one[k], pa.int64()) for k in names]
                 columns += [pa.array(before, pa.binary()), pa.array(after, pa.binary())]
                 for i in range(0, len(after), 2000):
-                    yield pa.RecordBatch.from_arrays([c.slice(i, 2000) for c in columns], [*names, "owner", "place", "before", "after"])
+                    yield pa.RecordBatch.from_arrays([c.slice(i, 2000) for c in columns], [*names, "before", "after"])
 
     names = ["anchor", "c1", "c2", "m"]
-    made = "anchor long, c1 long, c2 long, m long, owner long, place long, before binary, after binary"
+    made = "anchor long, c1 long, c2 long, m long, before binary, after binary"
     around = stored(texts.mapInArrow(surround, made), "around")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cover = "c1 long, c2 long, before int, after int"
@@ -244,39 +321,10 @@ def repeated_spans(
                 columns = [pa.array(c1[m]), pa.array(c2[m]), pa.array(x, pa.int32()), pa.array(y, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["c1", "c2", "before", "after"])
 
-    sorted_ = (
-        around.where(F.col("m") <= classes_at_once)
-        .select("anchor", "c1", "c2", "before", "after")
-        .repartition(parts, "anchor")
-        .sortWithinPartitions("anchor", "after", "c1", "c2")
-    )
-    found = sorted_.mapInArrow(scan, cover)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {k: batch.column(k)[r].as_py() for k in ("c1", "c2", "owner", "place", "before", "after")}
-                before = len(row["before"])
-                text = np.frombuffer(row["before"][::-1] + row["after"], np.uint8)
-                first = np.arange(max(0, before + min(GRAM, length) - length), min(before, len(text) - length) + 1)
-                w1, w2 = (SpanHash(text, seed)(first, first + length).view(np.int64) for seed in (0, 1))
-                start = (first + row["place"] - before).astype(np.uint64)
-                spot = mix(mix(start) + np.uint64(row["owner"] % 2**64)).view(np.int64)
-                columns = [pa.array(np.full(len(first), row[k])) for k in ("c1", "c2")]
-                columns += [pa.array((before - first).astype(np.int32)), pa.array((first + length - before).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(w1), pa.array(w2), pa.array(spot)], ["c1", "c2", "before", "after", "w1", "w2", "spot"]
-                )
-
-    # Anchors with very many classes: every string through the anchor is counted by its hash instead, at how many
-    # different spots it begins (one string can hold several anchors). Exact as well, and spread over all tasks.
-    many = around.where(F.col("m") > classes_at_once)
-    counted = many.mapInArrow(windows, cover + ", w1 long, w2 long, spot long")
-    spots = counted.groupBy("w1", "w2").agg(F.min("spot").alias("low"), F.max("spot").alias("high"))
-    several = spots.where("low <> high").select("w1", "w2")
-    widest = counted.join(several, ["w1", "w2"], "left_semi").select("c1", "c2", "before", "after")
+    groups, equal = smaller_groups(around, length, classes_at_once)
+    found = groups.repartition(parts, "anchor").sortWithinPartitions("anchor", "after", "c1", "c2").mapInArrow(scan, cover)
     # One row per class, so the join below makes no more rows than there are occurrences.
-    every_reach = whole.union(found).union(widest).groupBy("c1", "c2")
+    every_reach = whole.union(found).union(equal).groupBy("c1", "c2")
     reached = stored(every_reach.agg(F.max("before").alias("before"), F.max("after").alias("after")), "reached")
     spans = shared.join(reached, ["c1", "c2"]).select(
         "key_a", "key_b", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop")

@@ -21,8 +21,9 @@ from seriesloom.llm.language import language_of
 from seriesloom.llm.line_dedup import LineRuns, dedup_batch, drop_common_lines
 from seriesloom.llm.near_dedup import near_groups
 from seriesloom.llm.quality import quality_scores
-from seriesloom.llm.repeats import without_repeats
+from seriesloom.llm.repeats import smaller_groups, without_repeats
 from seriesloom.llm.sentencepiece_codec import encoded
+from seriesloom.llm.session import prepare
 from seriesloom.llm.token_counts import token_counts
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -376,7 +377,7 @@ def brute_repeats(docs, length):
 
 @pytest.mark.parametrize("length,at_once", [(50, 4096), (33, 4096), (50, 2)])
 def test_repeats(spark, length, at_once):
-    """With two classes at once, anchors go by counted windows."""
+    """With two classes at once, almost every anchor is dealt to smaller groups."""
     rng = random.Random(length)
     some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     passages = [some(rng.randint(30, 160)) for _ in range(10)]
@@ -409,6 +410,38 @@ def test_repeats_across_the_borders_of_stretches(spark, at_once):
     assert counted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(docs, 50)
 
 
+def near_copies(n, size, seed=3):
+    rng = random.Random(seed)
+    text = "".join(rng.choices("abcdefghij ", k=size))
+    out = []
+    for k in range(n):
+        at = rng.randrange(size - 6)
+        out.append((k, text[: at if k % 5 else size // 2] + "".join(rng.choices("XYZ", k=4)) + text[at + 4 :]))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [4096, 5])
+def test_repeats_of_a_large_group_of_near_copies(spark, at_once):
+    """All copies differ, so every anchor has about as many classes as there are copies."""
+    docs = near_copies(120, 1500)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = without_repeats(df, classes_at_once=at_once).collect()
+    assert counted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(docs, 400)
+
+
+def test_large_anchors_are_dealt_to_bounded_groups(spark):
+    """No group to scan is larger than asked, and a copy enters far fewer ranges than there are strings through an anchor."""
+    prepare(spark)
+    rows_ = [("", t[700:1100], k) for k, t in near_copies(300, 1500)]
+    rows_ += [(t[332:700][::-1], t[700:1100], 1000 + k) for k, t in near_copies(300, 1500)]
+    around = spark.createDataFrame([(7, c, c, len(rows_), b.encode(), a.encode()) for b, a, c in rows_],
+                                   "anchor long, c1 long, c2 long, m long, before binary, after binary")
+    groups, equal = smaller_groups(around, 400, 20)
+    sizes = [r["count"] for r in groups.groupBy("anchor").count().collect()]
+    assert sizes and max(sizes) <= 20
+    assert equal.count() + sum(sizes) < 30 * len(rows_)
+
+
 # -- 9: language
 
 
