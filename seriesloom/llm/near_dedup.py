@@ -26,10 +26,10 @@ from seriesloom.llm.components import components
 from seriesloom.llm.flat import flat, mix, pieces, shingles, whole_groups
 from seriesloom.llm.session import body, prepare, row_key, stored
 
-BANDS, WIDTH, RADIUS = 12, 4, 23
-#: Signatures further apart than this are no candidates. At similarity 0.75 the distance is 12 in the mean, and
-#: more than 28 with a chance of about 3e-7.
-FAR = 28
+BANDS, WIDTH, RADIUS = 16, 4, 31
+#: Signatures further apart than this are no candidates. At similarity 0.75 the distance is 16 in the mean, and
+#: more than 36 with a chance of about 2e-8.
+FAR = 36
 #: Signatures compared at once, and shingle sets intersected at once.
 BUCKET_BLOCK, SET_BLOCK = 2048, 512
 COLUMNS = 8192
