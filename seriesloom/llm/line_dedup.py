@@ -4,6 +4,10 @@ A run is a sorted table ``(line, n_docs)`` in the shared folder. Every batch of
 at level 0; ``fanout`` runs of a level are merged into one run of the next, so b batches leave about
 fanout * log(b) runs and every entry is rewritten log(b) times. A batch is cleaned by a merge anti
 join of its lines with the runs, which are sorted and pre-counted: the texts never meet.
+
+Where lines go by the number of documents in the whole table, a compaction settles the lines that have reached the number: they leave
+the runs, and every later batch merge-anti-joins them before it adds its own, so a common line is not carried on. Since a line may
+reach the number in the last batch, the documents are cleaned in one final pass.
 """
 
 from __future__ import annotations
@@ -20,11 +24,21 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 class LineRuns:
-    """Levelled sorted runs of line hashes with the number of documents that hold each."""
+    """Levelled sorted runs of line hashes with the number of documents that hold each.
+
+    settle: lines that a compaction finds in so many documents are set aside, without their number. None settles none.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = 4, settle: int | None = None) -> None:
+        self.spark, self.fanout, self.settle = spark, fanout, settle
         self.levels: list[list[DataFrame]] = []
+        self.settled: list[DataFrame] = []
+
+    def add_new(self, run: DataFrame) -> None:
+        """Add what a batch's run has beside the settled lines."""
+        for lines in self.settled:
+            run = run.join(lines.hint("merge"), "line", "left_anti")
+        self.add(stored(run.sortWithinPartitions("line"), "run0") if self.settled else run)
 
     def add(self, run: DataFrame) -> None:
         """Add a stored, sorted run ``(line, n_docs)`` at level 0; compact the levels that are full."""
@@ -36,6 +50,10 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             run = stored(merged(self.levels[level]).sortWithinPartitions("line"), f"run{level + 1}")
+            if self.settle:
+                done = F.col("n_docs") >= self.settle
+                self.settled.append(run.where(done).select("line"))
+                run = run.where(~done)
             self.levels[level] = []
             level += 1
 
@@ -43,9 +61,12 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def common(self, min_docs: int) -> DataFrame | None:
-        """Lines found in at least ``min_docs`` documents so far; None before the first run."""
+        """Lines found in at least ``min_docs`` documents so far; None before the first run. Settled lines are among them."""
+        if self.settle and min_docs > self.settle:
+            raise ValueError("settled lines are no longer counted.")
         runs = self.runs()
-        return merged(runs).where(F.col("n_docs") >= min_docs).select("line") if runs else None
+        counted = [merged(runs).where(F.col("n_docs") >= min_docs).select("line")] if runs else []
+        return reduce(DataFrame.unionAll, [*self.settled, *counted]) if runs or self.settled else None
 
 
 def merged(runs: list[DataFrame]) -> DataFrame:
@@ -110,8 +131,8 @@ def drop_common_lines(
 ) -> DataFrame:
     """Drop the lines whose key is in at least ``min_docs`` documents, in every document.
 
-    The documents' hashes arrive as ``batches`` runs that are compacted level by level; all documents
-    are then anti-joined with what the runs say. One row per row of ``docs``: the id, ``n_lines``,
+    The documents' hashes arrive in ``batches``: each merge-anti-joins the lines settled so far and adds its own as a run, and
+    runs are compacted level by level; all documents are then anti-joined with what the runs say. One row per row of ``docs``: the id, ``n_lines``,
     ``n_dropped`` and ``kept_text``. A null or empty text is one empty line, which stays (its key has
     no character). Every row counts as a document, also a repeated one or one without an id. An
     empty table gives an empty table; further columns are not read. Lines are equal when their keys'
@@ -120,9 +141,9 @@ def drop_common_lines(
     spark = prepare(docs.sparkSession)
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64(text_col), F.lit(batches)).cast("int"))
     counts = stored(run_of(dealt.select("batch", text_col), text_col, min_chars, ["batch"]), "lines", ["batch"])
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(spark, fanout, settle=min_docs)
     for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b).select("line", "n_docs"))
+        runs.add_new(counts.where(F.col("batch") == b).select("line", "n_docs"))
     return without(docs, stored(runs.common(min_docs), "common"), id_col, text_col, min_chars)
 
 

@@ -18,7 +18,7 @@ from seriesloom.llm.components import components
 from seriesloom.llm.decontaminate import leaks, tiles
 from seriesloom.llm.exact_dedup import exact_groups
 from seriesloom.llm.language import language_of
-from seriesloom.llm.line_dedup import LineRuns, dedup_batch, drop_common_lines
+from seriesloom.llm.line_dedup import LineRuns, dedup_batch, drop_common_lines, run_of
 from seriesloom.llm.near_dedup import near_groups
 from seriesloom.llm.quality import quality_scores
 from seriesloom.llm.repeats import smaller_groups, without_repeats
@@ -232,6 +232,24 @@ def test_arriving_batches(spark):
     assert len(runs.runs()) == 2  # five runs: one of level 2 (four batches), one of level 0
 
 
+def test_settled_lines_are_not_carried_on(spark):
+    """A compaction settles the lines that are common by then; later batches merge-anti-join them, and counts stay whole."""
+    prepare(spark)
+    runs, docs = LineRuns(spark, fanout=2, settle=4), []
+    for n in range(5):
+        batch = [(10 * n + k, f"hot\nslow {n % 2}\nonly {n} {k}") for k in range(2)]
+        docs += batch
+        runs.add_new(run_of(spark.createDataFrame(batch, "doc_id long, text string")))
+        if n == 4:
+            hot = hashlib.md5(b"hot").hexdigest()
+            assert hot not in {r.line for run in runs.runs() for r in run.collect()}
+    seen = Counter(line for _, t in docs for line in t.split("\n"))
+    want = {hashlib.md5(line.encode()).hexdigest() for line, n in seen.items() if n >= 4}
+    assert {r.line for r in runs.common(4).collect()} == want
+    with pytest.raises(ValueError):
+        runs.common(5)
+
+
 # -- 6: near dedup
 
 
