@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import (
@@ -14,7 +15,7 @@ from seriesloom.operators import seasonality as S
 from seriesloom.operators import stationarity as X
 from seriesloom.operators.profile import detect_frequency
 from seriesloom.plans.diagnosis import digest, digest_column, full_diagnosis
-from seriesloom.sources.panel import compact
+from seriesloom.sources.panel import compact, drop_missing, is_bounded
 
 # -- anomalies -------------------------------------------------------------------------
 
@@ -125,6 +126,25 @@ def _(t: Tables):
     return A.forest_scores(t.events())
 
 
+@query(
+    "forest_lookup",
+    f"""WITH e AS ({numbered(EVENTS_RAW)}),
+s AS (SELECT DISTINCT series_id, floor(y / 10) * 10 AS lo FROM e),
+k AS (SELECT series_id, lo, -1.0 / (1 + row_number() OVER (PARTITION BY series_id ORDER BY lo)) AS score FROM s),
+f AS (SELECT series_id, arg_min(score, lo) AS score FROM k GROUP BY 1)
+SELECT e.series_id, pos, y AS value, round(coalesce(k.score, f.score), 9) AS score
+FROM e ASOF LEFT JOIN k ON e.series_id = k.series_id AND e.y > k.lo JOIN f ON f.series_id = e.series_id""",
+)
+def _(t: Tables):
+    """Scores of a step function with a step at every ten, looked up as those of a forest are."""
+    panel = t.events()
+    rows = drop_missing(A.positioned(panel))
+    steps = rows.select("series_id", (F.floor(F.col("y") / 10) * 10.0).alias("lo")).distinct()
+    number = F.row_number().over(Window.partitionBy("series_id").orderBy("lo"))
+    steps = steps.withColumn("score", F.lit(-1.0) / (F.lit(1) + number))
+    return A.look_up(rows, steps, is_bounded(panel)).withColumn("score", r("score", 9))
+
+
 @query("isolation_forest_anomalies")
 def _(t: Tables):
     return A.isolation_forest_anomalies(t.orders())
@@ -186,6 +206,30 @@ def _(t: Tables):
     return X.adf(compact(t.orders()), max_lag=0).select("series_id", "lag", r("stat", 5).alias("stat"))
 
 
+def adf_sql(panel: str) -> str:
+    """Statistic by the smaller AIC of no lag and one lag; the regression on two variables is one of residuals."""
+    return f"""
+WITH x AS (SELECT series_id, pos, y - lag(y) OVER w AS d, lag(y) OVER w AS y1 FROM ({numbered(panel)}) WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+z AS (SELECT *, lag(d) OVER (PARTITION BY series_id ORDER BY pos) AS d1 FROM x),
+zero AS (SELECT series_id, count(*) + 1 AS n, regr_slope(d, y1) AS b, regr_syy(d, y1) AS syy, regr_sxx(d, y1) AS sxx FROM z WHERE d IS NOT NULL GROUP BY 1),
+one AS (SELECT series_id, count(*) AS m, regr_syy(d, y1) - regr_sxy(d, y1) ** 2 / regr_sxx(d, y1) AS ssr0,
+  regr_syy(d, d1) - regr_sxy(d, d1) ** 2 / regr_sxx(d, d1) AS e00, regr_syy(y1, d1) - regr_sxy(y1, d1) ** 2 / regr_sxx(y1, d1) AS e11,
+  regr_sxy(d, y1) - regr_sxy(d, d1) * regr_sxy(y1, d1) / regr_sxx(d, d1) AS e01 FROM z WHERE d1 IS NOT NULL GROUP BY 1),
+j AS (SELECT *, m * ln((e00 - e01 * e01 / e11) / m) + 6 < m * ln(ssr0 / m) + 4 AS lagged FROM zero JOIN one USING (series_id))
+SELECT series_id, lagged::INT AS lag, CASE WHEN lagged THEN e01 / e11 / sqrt((e00 - e01 * e01 / e11) / (n - 5) / e11)
+  ELSE b / sqrt((syy - b * b * sxx) / (n - 3) / sxx) END AS stat FROM j"""
+
+
+_DIFFERENCED = f"SELECT series_id || ':' || d AS series_id, ts, y FROM ({_DIFFERENCES})"
+
+
+@query("adf_up_to_one_lag", f"SELECT series_id, lag, round(stat, 5) AS stat FROM ({adf_sql(_DIFFERENCED)})")
+def _(t: Tables):
+    """The series and both differences; the lag is chosen by AIC."""
+    found = X.adf(X.differences(t.gappy()), ["series_id", "d"], max_lag=1)
+    return found.select(F.concat_ws(":", "series_id", "d").alias("series_id"), "lag", r("stat", 5).alias("stat"))
+
+
 @query("adf_by_aic")
 def _(t: Tables):
     return X.adf(X.differences(t.orders()), ["series_id", "d"])
@@ -236,6 +280,31 @@ def _(t: Tables):
     return X.gram(rows, ["series_id"], ["one", "x"], "v").withColumn("v", r("v", 4))
 
 
+# Fixed value: the five-percent point of the statistic with a constant, for long series.
+_ADF_FIVE_PERCENT = -2.8621
+
+
+@query(
+    "stationarity_verdict",
+    f"""WITH k AS ({kpss_sql(_DIFFERENCED)}), a AS ({adf_sql(_DIFFERENCED)}),
+j AS (SELECT split_part(series_id, ':', 1) AS series_id, split_part(series_id, ':', 2)::INT AS d,
+  CASE WHEN a.stat < {_ADF_FIVE_PERCENT} THEN 0.01 ELSE 0.5 END AS adf_p, k.p AS kpss_p FROM k JOIN a USING (series_id)),
+v AS (SELECT series_id, max(adf_p) FILTER (d = 0) AS adf_p, max(kpss_p) FILTER (d = 0) AS kpss_p,
+  min(d) FILTER (adf_p < 0.05 AND kpss_p > 0.05) AS d FROM j GROUP BY 1)
+SELECT series_id, coalesce(d = 0, false) AS is_stationary, adf_p AS adf_pvalue, round(kpss_p, 6) AS kpss_pvalue,
+  coalesce(d, 2) AS recommended_differencing FROM v""",
+)
+def _(t: Tables):
+    """The verdict from KPSS and ADF of the series and both differences, ADF by its five-percent point instead of a p-value."""
+    panel, by = t.gappy(), ["series_id", "d"]
+    rows = X.differences(panel)
+    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("sd"))
+    p = F.when(F.col("stat") < _ADF_FIVE_PERCENT, 0.01).otherwise(0.5)
+    tests = size.join(X.adf(rows, by, max_lag=1).select(*by, p.alias("adf_p")), by)
+    tests = tests.join(X.kpss(rows, by).select(*by, F.col("p").alias("kpss_p")), by)
+    return X.verdict(tests, panel.groupBy("series_id").agg(F.count("y").alias("rows"))).drop("note")
+
+
 @query("check_stationarity")
 def _(t: Tables):
     return X.check_stationarity(t.orders().unionByName(t.lineitem()))

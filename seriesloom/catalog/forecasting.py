@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.diagnosis import _MIXED, mixed
-from seriesloom.catalog.registry import Tables, events_by, lineitem_by, ntz, numbered, orders_by, query, r
+from seriesloom.catalog.registry import GAPPY, Tables, events_by, lineitem_by, ntz, numbered, orders_by, query, r
 from seriesloom.catalog.sources import frequency_sql
 from seriesloom.functions.lineage import shared_folder
+from seriesloom.operators import additive as additive_model
 from seriesloom.operators.additive import SEASONS, additive, additive_spec, gram_cells
 from seriesloom.operators.conformal import (
     calibration_scores, conformal, conformal_quantile, split_panel, training_rows, unbounded_intervals,
@@ -18,7 +19,7 @@ from seriesloom.operators.ets import Z80, Z95, ets, fit_ets
 from seriesloom.operators.grid import future_grid, resolve_period
 from seriesloom.operators.registry import model_cards, models_that_fit, usable_counts
 from seriesloom.plans.jobs import check_requests, job_by_id, jobs_by_status, run_forecast, run_jobs
-from seriesloom.sources.panel import compact
+from seriesloom.sources.panel import compact, is_bounded
 from seriesloom.streaming.intake import finished_jobs, stream_jobs
 
 ALPHA = 0.3
@@ -172,6 +173,49 @@ def _(t: Tables):
     return placed.withColumn("v", r("v", 4))
 
 
+def line_sql(panel: str) -> str:
+    """Posterior mode of the additive model without seasons and rate changes, by its own iteration."""
+    p, h2 = 1 / additive_model.TREND_SCALE**2, additive_model.NOISE_SCALE**2
+    return f"""
+WITH RECURSIVE m AS (SELECT series_id, epoch_us(ts) AS u, y FROM ({panel}) WHERE y IS NOT NULL),
+b AS (SELECT series_id, min(u) AS start, max(u) AS stop, max(abs(y)) AS scale, count(*) AS n FROM m GROUP BY 1),
+x AS (SELECT series_id, n, start, stop, scale, (u - start) / (stop - start)::DOUBLE AS t, y / scale AS v FROM m JOIN b USING (series_id)),
+g AS (SELECT series_id, n, start, stop, scale, sum(t * t) AS tt, sum(t) AS t, sum(t * v) AS tv, sum(v) AS v, sum(v * v) AS vv FROM x GROUP BY ALL),
+i AS (
+  SELECT series_id, 0 AS turn, greatest(vv / n, 1e-12) AS noise, 0.0::DOUBLE AS k, 0.0::DOUBLE AS m FROM g
+  UNION ALL
+  SELECT series_id, turn + 1, greatest(2 * left_ / (n + sqrt(n::DOUBLE * n + 4 * left_ / {h2})), 1e-12), k, m
+  FROM (SELECT *, greatest(vv - 2 * (k * tv + m * v) + k * k * tt + 2 * k * m * t + m * m * n, 0.0) AS left_
+        FROM (SELECT g.*, turn, (tv * (n + {p} * noise) - t * v) / ((tt + {p} * noise) * (n + {p} * noise) - t * t) AS k,
+                     ((tt + {p} * noise) * v - t * tv) / ((tt + {p} * noise) * (n + {p} * noise) - t * t) AS m
+              FROM i JOIN g USING (series_id) WHERE turn < 60) AS solved) AS residual)
+SELECT series_id, n, start, stop, i.k * scale AS k, i.m * scale AS m, sqrt(noise) * scale AS sigma FROM i JOIN g USING (series_id) WHERE turn = 60"""
+
+
+@query("additive_line_fit", f"SELECT series_id, n, round(k, 2) AS k, round(m, 2) AS m, round(sigma, 2) AS sigma FROM ({line_sql(GAPPY)})")
+def _(t: Tables):
+    panel = t.gappy()
+    rows = compact(panel)
+    spec = additive_model.additive_spec(rows, False, False, False, 0)
+    fit = additive_model.fit_additive(rows, spec, additive_model.CHANGEPOINT_SCALE, is_bounded(panel))
+    return fit.select("series_id", "n", r("k", 2).alias("k"), r("m", 2).alias("m"), r("sigma", 2).alias("sigma"))
+
+
+@query(
+    "additive_line_forecast",
+    f"""WITH f AS ({line_sql(lineitem_by('month'))}),
+g AS (SELECT *, unnest(range(1, 7))::INT AS step_no FROM f),
+h AS (SELECT *, make_timestamp(stop) + to_months(step_no) AS ts FROM g),
+y AS (SELECT *, k * ((epoch_us(ts) - start) / (stop - start)::DOUBLE) + m AS yhat FROM h)
+SELECT series_id, step_no, ts, round(yhat, 2) AS yhat, round(yhat - {Z80} * sigma, 2) AS lo80, round(yhat + {Z80} * sigma, 2) AS hi80,
+ round(yhat - {Z95} * sigma, 2) AS lo95, round(yhat + {Z95} * sigma, 2) AS hi95 FROM y""",
+)
+def _(t: Tables):
+    found = additive_model.additive(t.lineitem(), 6, False, False, False, n_changepoints=0)
+    bounds = [r(c, 2).alias(c) for c in ("yhat", "lo80", "hi80", "lo95", "hi95")]
+    return found.select("series_id", "step_no", ntz("ts").alias("ts"), *bounds)
+
+
 @query("additive_forecast")
 def _(t: Tables):
     return additive(t.orders(), 30)
@@ -390,6 +434,24 @@ def _(t: Tables):
     )
 
 
+@query(
+    "run_forecast_digests",
+    f"""SELECT f.series_id AS job_id, 'ets' AS model_name, 'done' AS status, 12 AS horizon,
+ 'Dataset: ' || count(*) || ' rows, ' || frequency || ' frequency, ' || strftime(min(ts), '%b %Y') || ' to ' || strftime(max(ts), '%b %Y') || '.' AS dataset,
+ 'Target column: ''y'' (mean: ' || printf('%.1f', avg(y)) || ', std: ' || printf('%.1f', stddev_samp(y)) || ').' AS target,
+ 'No missing values in target column.' AS missing
+FROM ({lineitem_by('month')}) m JOIN ({frequency_sql(lineitem_by('month'))}) f ON f.series_id = m.series_id GROUP BY f.series_id, frequency""",
+)
+def _(t: Tables):
+    """The jobs of a batch, with what the digest of each job's series says of its rows."""
+    panel = t.lineitem()
+    wanted = panel.select("series_id").distinct().select(
+        F.col("series_id").alias("job_id"), "series_id", F.lit("ets").alias("model_name"), F.lit(12).alias("horizon")
+    )
+    lines = [F.split("summary", "\n")[i].alias(name) for i, name in enumerate(("dataset", "target", "missing"))]
+    return run_forecast(panel, wanted).jobs.select("job_id", "model_name", "status", "horizon", *lines)
+
+
 @query("run_forecast")
 def _(t: Tables):
     panel = t.lineitem()

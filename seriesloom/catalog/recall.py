@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.catalog.registry import Tables, lineitem_by, query, r
+from seriesloom.catalog.registry import Tables, lineitem_by, orders_by, query, r
+from seriesloom.catalog.sources import frequency_sql
 from seriesloom.operators import vectors as V
 from seriesloom.plans.jobs import run_forecast
 
@@ -135,7 +136,7 @@ def _memories(t: Tables):
 @query(
     "memories_from_jobs",
     f"""SELECT series_id AS job_id, 'ets' AS model_name, 'y' AS target_column, '12' AS horizon, 'true' AS conformal, 'monthly' AS frequency,
- count(*)::VARCHAR AS row_count, 'word-count' AS embedding_model, 5 AS dim FROM ({lineitem_by('month')}) GROUP BY 1""",
+ count(*)::VARCHAR AS row_count, 'word-count' AS embedding_model, {len(V.VOCABULARY)} AS dim FROM ({lineitem_by('month')}) GROUP BY 1""",
 )
 def _(t: Tables):
     _, memories = _memories(t)
@@ -147,3 +148,36 @@ def _(t: Tables):
 def _(t: Tables):
     panel, memories = _memories(t)
     return V.recall_by_series(memories, panel, 2).drop("created_at", "meta")
+
+
+_PHRASES = "[" + ", ".join(f"'{w}'" for w in V.VOCABULARY) + "]"
+
+
+def _counted(text: str) -> str:
+    return f"list_transform({_PHRASES}, lambda w: ((length(lower({text})) - length(replace(lower({text}), w, ''))) / length(w))::DOUBLE)"
+
+
+@query(
+    "recall_by_flat_series",
+    f"""WITH m AS (SELECT p_partkey, {_PHRASES}[p_size % {len(V.VOCABULARY)} + 1] || ', ' || {_PHRASES}[p_partkey % {len(V.VOCABULARY)} + 1] AS text FROM part),
+d AS (SELECT series_id, concat_ws(chr(10), 'Dataset: some rows, ' || frequency || ' frequency.', 'Target column: ''y''.', 'No missing values in target column.',
+ 'Series is stationary.', 'No clear seasonality detected.', 'No anomalies detected.') AS text FROM ({frequency_sql(orders_by('day'))})),
+a AS (SELECT p_partkey, text, {_counted('text')} AS e FROM m), q AS (SELECT series_id, {_counted('text')} AS q FROM d),
+s AS (SELECT series_id, p_partkey, text,
+  list_dot_product(e, q) / greatest(sqrt(list_dot_product(e, e)), 1e-12) / greatest(sqrt(list_dot_product(q, q)), 1e-12) AS score FROM a, q),
+k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(score, 12) DESC, p_partkey)::INT AS rank FROM s)
+SELECT series_id AS query_id, rank, p_partkey AS job_id, round(score, 6) AS score, text FROM k WHERE rank <= 5""",
+)
+def _(t: Tables):
+    """Memories that hold two phrases of digests each, recalled by the digests of daily series that never change."""
+    phrases = F.array(*[F.lit(w) for w in V.VOCABULARY])
+    word = lambda c: phrases[F.col(c) % len(V.VOCABULARY)]
+    memories = V.embed(
+        t.table("part").select(
+            F.col("p_partkey").alias("job_id"), F.concat_ws(", ", word("p_size"), word("p_partkey")).alias("text"), F.lit("ets").alias("model_name"),
+            F.create_map(F.lit("brand"), F.col("p_brand")).alias("meta"), F.timestamp_seconds("p_partkey").alias("created_at"),
+        ),
+        "text", V.WordCountEmbedder(),
+    )
+    found = V.recall_by_series(memories, t.orders().select("series_id", "ts", F.lit(1.0).alias("y")), 5)
+    return found.select("query_id", "rank", "job_id", r("score").alias("score"), "text")

@@ -20,6 +20,7 @@ in_blocks(
     "positions", "deltas", "frequency_events_raw", "frequency_orders_daily", "profile_series", "zscores", "zscore_anomalies",
     "rollup_anomalies", "differences", "adf_fixed_lag", "kpss_orders_daily", "despike", "detrend", "acf", "power_spectrum",
     "seasonality_orders_daily", "smoothing_fit", "conformal_apply",
+    "adf_up_to_one_lag", "stationarity_verdict", "forest_lookup", "additive_line_fit",
 )
 
 

@@ -149,12 +149,14 @@ def forest_scores(panel: DataFrame, trees: int = TREES, seed: int = 0) -> DataFr
     Every forest is built by :func:`forest_steps`, whatever the panel's form, so a series scores the same
     beside any neighbour. The steps are handed to the series, or to each piece of it, and looked up there.
     """
+    return look_up(drop_missing(positioned(panel)), forest_steps(panel, trees, seed), is_bounded(panel))
+
+
+def look_up(rows: DataFrame, steps: DataFrame, bounded: bool) -> DataFrame:
+    """The score of the last step ``(series_id, lo, score)`` below each row's value, or of the first step."""
     schema = "series_id string, pos bigint, value double, score double"
-    rows = drop_missing(positioned(panel))
-    steps = forest_steps(panel, trees, seed).select(
-        F.col("series_id").alias("step_id"), "lo", F.col("score").alias("step")
-    )
-    if is_bounded(panel):
+    steps = steps.select(F.col("series_id").alias("step_id"), "lo", F.col("score").alias("step"))
+    if bounded:
         mine = spread(rows.select("series_id", "pos", "y"), "series_id").groupBy("series_id")
         return mine.cogroup(steps.groupBy("step_id")).applyInPandas(_lookup, schema)
     cut = pieces(rows).select("series_id", "piece", "pos", "y")

@@ -350,7 +350,15 @@ def stationarity_tests(diffs: DataFrame, by: Sequence[str], bounded: bool) -> Da
 
 def check_stationarity(panel: DataFrame) -> DataFrame:
     """Both tests on the series and its two differences in one job, and the verdict per series."""
-    tests = stationarity_tests(differences(panel), ["series_id", "d"], is_bounded(panel))
+    every = panel.groupBy("series_id").agg(F.count("y").alias("rows"))
+    return verdict(stationarity_tests(differences(panel), ["series_id", "d"], is_bounded(panel)), every)
+
+
+def verdict(tests: DataFrame, every: DataFrame) -> DataFrame:
+    """Whether each series is stationary, and how often to difference it, from the tests of its differences.
+
+    tests: ``(series_id, d, n, sd, adf_p, kpss_p)``; every: ``(series_id, rows)``, also of series without a test.
+    """
     # A constant difference has nothing left to remove, so it passes.
     constant = (F.col("n") >= MIN_OBS) & (F.col("sd") == 0)
     passes = F.coalesce(constant | ((F.col("adf_p") < ALPHA) & (F.col("kpss_p") > ALPHA)), F.lit(False))
@@ -362,7 +370,6 @@ def check_stationarity(panel: DataFrame) -> DataFrame:
         F.max(F.when(level, F.col("kpss_p"))).alias("kpss_p"),
         F.min(F.when(passes, F.col("d"))).alias("first_d"),
     )
-    every = panel.groupBy("series_id").agg(F.count("y").alias("rows"))
     short = F.col("rows") < MIN_OBS
     flat = ~short & (F.coalesce(F.col("sd"), F.lit(0.0)) == 0)
     p = lambda name, constant_p: F.when(short, F.lit(None).cast("double")).when(flat, F.lit(constant_p)).otherwise(
