@@ -28,8 +28,8 @@ def full_diagnosis(
     """One row per series: profile, stationarity, seasonality and anomalies as structs.
 
     Stationarity is tested on the raw values, seasonality on the de-spiked ones. The
-    positioned panel feeds every branch, so it is written once; from there each branch is
-    partitioned by series already.
+    positioned panel feeds every branch, so it is written once; a written table keeps no partitioning, so each branch
+    shuffles it by series again.
     """
     if found is None:
         rows = checkpoint(with_pos(panel))
