@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from odd_rows import nothing, odd, odd_rows  # noqa: F401  (fixtures)
-from seriesloom.llm import exact_dedup, near_dedup, quality
+from seriesloom.llm import exact_dedup, near_dedup, quality, repeats
 from seriesloom.llm.chat import perspectives
 from seriesloom.llm.components import components
 from seriesloom.llm.decontaminate import leaks, tiles
@@ -21,9 +21,9 @@ from seriesloom.llm.language import language_of
 from seriesloom.llm.line_dedup import LineRuns, dedup_batch, drop_common_lines, run_of
 from seriesloom.llm.near_dedup import near_groups
 from seriesloom.llm.quality import quality_scores
-from seriesloom.llm.repeats import smaller_groups, without_repeats
+from seriesloom.llm.repeats import repeated_spans, smaller_groups, without_repeats
 from seriesloom.llm.sentencepiece_codec import encoded
-from seriesloom.llm.session import prepare
+from seriesloom.llm.session import prepare, stored
 from seriesloom.llm.token_counts import token_counts
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -447,6 +447,45 @@ def test_repeats_of_a_large_group_of_near_copies(spark, at_once):
     assert counted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(docs, 400)
 
 
+def test_a_common_anchor_does_not_fill_one_task(spark, monkeypatch):
+    """Most occurrences are of one anchor, many of one class; no join brings them together in a task."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    docs = [(k, "x" * 900 if k % 2 else some(500) + "x" * 430) for k in range(64)] + [(100 + k, some(1200)) for k in range(8)]
+    largest = {}
+
+    def largest_share(df):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        return max(sizes) / sum(sizes)
+
+    def noted(df, name="table", *more):
+        if name == "shared":
+            largest[name] = largest_share(df)
+        return stored(df, name, *more)
+
+    def spans(*args):
+        out = repeated_spans(*args)
+        largest["spans"] = largest_share(out)
+        return out
+
+    prepare(spark)
+    # As with large tables: neither are joins turned into broadcasts nor partitions put together.
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(repeats, "stored", noted)
+    monkeypatch.setattr(repeats, "repeated_spans", spans)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(16).localCheckpoint()
+        got = without_repeats(df).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert counted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(docs, 400)
+    assert len(largest) == 2 and max(largest.values()) < 0.3, largest
+
+
 def test_large_anchors_are_dealt_to_bounded_groups(spark):
     """No group to scan is larger than asked, and a copy enters far fewer ranges than there are strings through an anchor."""
     prepare(spark)
