@@ -9,10 +9,15 @@ The relation is kept in blocks of about ``BLOCK_BYTES`` of text: a row holds the
 phrase at each, and the block's own list of distinct phrases with their counts. Only these lists are counted, joined and
 shuffled row by row, so a phrase as common as a third of all words is one row per block, and no group grows with the
 number of its occurrences. Phrases of length k + 1 are named by the two phrases of length k they begin and end with.
+
+A task has one block in memory at a time, however many it has to do: a block's text is looked up and hashed in stretches
+of ``STRETCH_BYTES``, and each block is a row group of its own in the written relation.
 """
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,6 +30,10 @@ from seriesloom.llm.flat import LOWER, SpanHash, flat, mix, same_bytes, words
 from seriesloom.llm.session import body, discard, leading, prepare, stored
 
 BLOCK_BYTES = 4_000_000
+STRETCH_BYTES = 250_000
+
+#: Frequent phrases for each partition up to which they are hashed; a hash table cannot spill, so more are merged.
+HASHED_ROWS = 1_000_000
 
 #: What parts pieces, and what parts the words of a piece as well.
 PART = np.zeros(256, bool)
@@ -35,9 +44,22 @@ APART[[9, 32]] = True
 UNKNOWN = "und"
 
 
+def looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]`` for a table of 256 bytes or flags, without the index of eight times the data that numpy makes."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; the C library would keep it for the worker, also while that waits between stages."""
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def block_ends(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Byte ranges of about ``most`` bytes, cut only between rows or pieces; a longer piece is a block of its own."""
-    borders = np.unique(np.concatenate([offsets[1:], np.flatnonzero(PART[data]) + 1]))
+    border = np.append(False, looked_up(PART, data))
+    border[offsets[1:]] = True
+    borders = np.flatnonzero(border)
     a = 0
     while a < len(data):
         k = int(np.searchsorted(borders, a + most, "right")) - 1
@@ -46,13 +68,45 @@ def block_ends(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tup
         a = b
 
 
-def distinct_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One span of every distinct (bytes, code), and the number of the distinct one for each span; hashes are verified."""
-    value = SpanHash(data)(start, stop) ^ mix(code.astype(np.uint64) + np.uint64(1))
+def block_words(text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, stops and hashes of the words of a block, stretch by stretch."""
+    found = []
+    for a, b in block_ends(text, edges, STRETCH_BYTES):
+        i, j = np.searchsorted(edges, (a, b))
+        start, stop, _ = words(text[a:b], edges[i:j] - a, APART)
+        found.append((start + a, stop + a, SpanHash(text[a:b])(start, stop)))
+    start, stop, value = (np.concatenate(x) for x in zip(*found))
+    return start, stop, value
+
+
+def strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The spans as an Arrow column of strings, checked to be UTF-8."""
+    ends = np.cumsum(stop - start)
+    taken = data[np.repeat(stop - ends, stop - start) + np.arange(ends[-1])]
+    column = pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.append(0, ends).astype("<i4")), pa.py_buffer(taken))
+    column.validate(full=True)
+    return column
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, code: np.ndarray, mine: np.ndarray, like: np.ndarray) -> bool:
+    """Whether the spans numbered ``mine`` equal those numbered ``like``, one by one."""
+    length = stop[mine] - start[mine]
+    same = (length == stop[like] - start[like]) & (code[mine] == code[like])
+    return bool(same.all() and same_bytes(data, start[mine], data, start[like], length).all())
+
+
+def distinct_spans(
+    data: np.ndarray, start: np.ndarray, stop: np.ndarray, code: np.ndarray, value: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """One span of every distinct (bytes, code), and the number of the distinct one for each span; hashes are verified.
+
+    value: the spans' hashes, where they are known.
+    """
+    value = (SpanHash(data)(start, stop) if value is None else value) ^ mix(code.astype(np.uint64) + np.uint64(1))
     _, one, inverse = np.unique(value, return_index=True, return_inverse=True)
-    like = one[inverse]
-    same = (stop - start == stop[like] - start[like]) & (code == code[like])
-    if same.all() and same_bytes(data, start, data, start[like], stop - start).all():
+    del value
+    each = np.array_split(np.arange(len(start)), 1 + len(data) // STRETCH_BYTES // 4)
+    if all(same_spans(data, start, stop, code, mine, one[inverse[mine]]) for mine in each):
         return one, inverse
     known: dict[tuple[int, bytes], int] = {}  # two words share a hash: name them by their bytes
     for k, (c, a, b) in enumerate(zip(code.tolist(), start.tolist(), stop.tolist())):
@@ -77,6 +131,23 @@ def block_row(block: int, place: np.ndarray, item: np.ndarray, a: pa.Array, b: p
 COLUMNS = ["block", "place", "item", "entries"]
 
 
+def word_row(
+    block: int, data: np.ndarray, offsets: np.ndarray, a: int, b: int, codes: np.ndarray, langs: pa.Array
+) -> list[pa.Array] | None:
+    """The row of the words in bytes ``a`` to ``b``, None if there are none; what it needs meanwhile ends with the call."""
+    text = looked_up(LOWER, data[a:b])
+    start, stop, value = block_words(text, np.clip(offsets, a, b) - a)
+    if not len(start):
+        return None
+    row = np.searchsorted(offsets, start + a, "right") - 1
+    piece = np.searchsorted(np.flatnonzero(looked_up(PART, text)), start)
+    place = np.append(0, np.cumsum((piece[1:] != piece[:-1]) | (row[1:] != row[:-1]))) + np.arange(len(start))
+    code = codes[row]
+    del row, piece
+    one, item = distinct_spans(text, start, stop, code, value)
+    return block_row(block, place, item, langs.take(pa.array(code[one])), strings(text, start[one], stop[one]), np.bincount(item))
+
+
 def word_relation(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> DataFrame:
     """The occurrences of all words: ``block``, ``place``, ``item`` and ``entries`` of (language, word, count).
 
@@ -92,25 +163,26 @@ def word_relation(docs: DataFrame, text_col: str, lang_col: str, block_bytes: in
             named = batch.column(1).dictionary_encode()
             codes = named.indices.to_numpy(zero_copy_only=False)
             for a, b in block_ends(data, offsets, block_bytes):
-                text = LOWER[data[a:b]]
-                edges = np.unique(np.clip(offsets, a, b)) - a
-                start, stop, _ = words(text, edges, APART)
-                if not len(start):
-                    continue
-                row = np.searchsorted(offsets, start + a, "right") - 1
-                piece = np.cumsum(PART[text])[start]
-                border = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
-                place = np.arange(len(start)) + np.append(0, np.cumsum(border))
-                one, item = distinct_spans(text, start, stop, codes[row])
-                lang = named.dictionary.take(pa.array(codes[row[one]]))
-                word = pa.array([text[i:j].tobytes().decode() for i, j in zip(start[one].tolist(), stop[one].tolist())], pa.string())
-                yield pa.RecordBatch.from_arrays(block_row(block, place, item, lang, word, np.bincount(item)), COLUMNS)
-                block += 1
+                row = word_row(block, data, offsets, a, b, codes, named.dictionary)
+                if row is not None:
+                    yield pa.RecordBatch.from_arrays(row, COLUMNS)
+                    block += 1
+                row = None
+            give_back()
 
     said = docs.select(body(text_col).alias("body"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     return said.mapInArrow(split, "block long, place binary, item binary, entries array<struct<a:string,b:string,n:bigint>>")
 
 
+def blocks_stored(relation: DataFrame, name: str) -> DataFrame:
+    """``stored`` for blocks: few, large values per row, so they are worth a stronger codec.
+
+    Each block is a row group. By default Parquet counts 100 rows before it looks at their bytes, and then its writer and
+    reader hold all of a task's blocks at once.
+    """
+    return stored(relation, name, codec="zstd", options={"parquet.block.row.count.limit": 1})
+
+
 def frequent(relation: DataFrame, least: int) -> DataFrame:
     """Group-count: phrases with at least ``least`` occurrences, each with a number of its own."""
     counted = relation.select(F.explode("entries").alias("e")).groupBy("e.a", "e.b").agg(F.sum("e.n").alias("n"))
@@ -125,8 +197,10 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
     """
     listed = relation.select("block", F.posexplode("entries").alias("item", "e")).select("block", "item", "e.a", "e.b")
     # Both sides grow with the corpus and are shuffled, never broadcast. A phrase is listed once and is in the lists of many
-    # blocks, so these need no sorting: a partition's frequent phrases are hashed.
-    wanted = listed.join(kept.select("a", "b", "id").hint("shuffle_hash"), ["a", "b"]).select(F.col("block").alias("home"), "item", "id")
+    # blocks, so these need no sorting: a partition's frequent phrases are hashed, unless there are too many for its memory.
+    partitions = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    how = "shuffle_hash" if kept.count() <= HASHED_ROWS * partitions else "merge"
+    wanted = listed.join(kept.select("a", "b", "id").hint(how), ["a", "b"]).select(F.col("block").alias("home"), "item", "id")
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -146,7 +220,9 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
             ids = right.column("id").to_numpy()
             a, b = (pa.array(ids[k]) for k in (found // right.num_rows, found % right.num_rows))
             rows.append(block_row(left.column("block")[r].as_py(), place[at], longer, a, b, n))
+            del place, item, number, mine, at, pair, found, longer, n, ids
         batches = [pa.RecordBatch.from_arrays(row, COLUMNS) for row in rows]
+        give_back()
         return pa.Table.from_batches(batches, LONGER)
 
     both = relation.select("block", "place", "item").groupBy("block").cogroup(wanted.groupBy("home"))
@@ -206,8 +282,7 @@ def collocations(
     Texts of any length count whole; a task holds a block of text, or its longest piece.
     """
     spark = prepare(docs.sparkSession)
-    # Few, large values per row, so they are worth a stronger codec.
-    relation = stored(word_relation(docs, text_col, lang_col, block_bytes), "words", codec="zstd")
+    relation = blocks_stored(word_relation(docs, text_col, lang_col, block_bytes), "words")
     totals = stored(relation.select(F.explode("entries").alias("e")).groupBy("e.a").agg(F.sum("e.n").alias("n")), "totals")
     kept = frequent(relation, least)
     none = F.array().cast("array<bigint>")
@@ -217,7 +292,7 @@ def collocations(
     candidates: list[DataFrame] = []
     for size in range(2, longest + 1):
         longer = extended(relation, kept)
-        longer = stored(longer if size < longest else longer.select("entries"), f"length{size}", codec="zstd")
+        longer = blocks_stored(longer if size < longest else longer.select("entries"), f"length{size}")
         discard(relation)
         relation, kept = longer, frequent(longer, least)
         phrases = named(kept, phrases)

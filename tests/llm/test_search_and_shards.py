@@ -3,12 +3,17 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from odd_rows import nothing, odd, odd_rows  # noqa: F401  (fixtures)
@@ -179,6 +184,69 @@ def test_collocations_of_odd_rows(odd, odd_rows, nothing):
     assert C.collocations(nothing).count() == 0
 
 
+def test_collocations_hold_one_block_at_a_time(spark, monkeypatch):
+    """Every block of a written relation is a row group, so neither writer nor reader hold all blocks of a task."""
+    files = []
+    monkeypatch.setattr(C, "discard", lambda table: files.append([f.removeprefix("file:") for f in table.inputFiles()]))
+    df = spark.createDataFrame([(k, "new york city " * 30, "en") for k in range(40)], "doc_id long, text string, lang string")
+    assert C.collocations(df.coalesce(1), block_bytes=500).count() > 0
+    assert len(files) == 3  # words, pairs, triples
+    for found in files:
+        read = [pq.ParquetFile(f).metadata for f in found]
+        assert sum(m.num_row_groups for m in read) == sum(m.num_rows for m in read) > 20
+
+
+def test_words_of_a_block_need_little_memory(spark, monkeypatch):
+    """A block of 4 MB, cut from a batch of 16 MB as Spark sends it, is looked up and hashed in stretches."""
+
+    class Caught:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, split, schema: split
+
+    rng = np.random.default_rng(0)
+    words = np.array([bytes(rng.integers(97, 123, rng.integers(3, 11)).astype(np.uint8)) for _ in range(20_000)])
+    texts = [b" ".join(rng.choice(words, 1000).tolist()) + b"." for _ in range(2200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(["en"] * len(texts))], ["body", "lang"])
+    assert 15e6 < batch.nbytes < 18e6
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    split = C.word_relation(Caught(), "text", "lang", C.BLOCK_BYTES)
+    tracemalloc.start()
+    try:
+        said = [np.frombuffer(r.column("item")[0].as_py(), "<i4").size for r in split(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(said) == 2_200_000 and len(said) == 5
+    assert peak < 130e6
+
+
+def test_words_over_stretches(monkeypatch):
+    """Words, hashes and strings of a block do not depend on where its stretches are cut."""
+    texts = ["New York, é中 city. ", "", "a" * 90 + " b\x0bc", " ..", "中中 é"] * 20
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    edges = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    whole = C.block_words(data, edges)
+    monkeypatch.setattr(C, "STRETCH_BYTES", 7)
+    for x, y in zip(whole, C.block_words(data, edges)):
+        assert x.tolist() == y.tolist()
+    start, stop, value = whole
+    said = [data[a:b].tobytes().decode() for a, b in zip(start, stop)]
+    assert C.strings(data, start, stop).to_pylist() == said and len(set(value.tolist())) == len(set(said))
+    with pytest.raises(pa.ArrowInvalid):
+        C.strings(np.frombuffer(b"\xff", np.uint8), np.array([0]), np.array([1]))
+
+
+@pytest.mark.parametrize("most,how", [(0, "merge"), (10**6, "shuffle_hash")])
+def test_many_frequent_phrases_are_merged(spark, monkeypatch, most, how):
+    """A hash table of frequent phrases cannot spill, so beyond a number for each partition they are merged."""
+    monkeypatch.setattr(C, "HASHED_ROWS", most, raising=False)
+    entry = "array<struct<a:bigint,b:bigint,n:bigint>>"
+    relation = spark.createDataFrame([], f"block long, place binary, item binary, entries {entry}")
+    kept = spark.createDataFrame([(1, 2, 3, 0)], "a long, b long, n long, id long")
+    plan = C.extended(relation, kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"strategy={how}" in plan
+
+
 def test_counts_beyond_64_bits(spark):
     big = 900_000_000_000_001
     df = spark.createDataFrame([(big, [big + 3], [big + 5])], "n long, heads array<long>, tails array<long>")
